@@ -65,10 +65,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 #: Blocks of a tile's key, and how many times fewer pairs than all they leave for random fingerprints at radius 2.
-PRUNED = {2: 8, 4: 60, 8: 2700}
+PRUNED = {4: 60, 8: 2700}
 
 
-def blocks_for(marks: int, most: int = 20_000) -> int:
+def blocks_for(marks: int, most: int = 200_000) -> int:
     """Fewest blocks that leave each fingerprint ``most`` partners on average; the result doesn't depend on it."""
     return next((b for b, times in PRUNED.items() if marks / times <= most), max(PRUNED))
 
