@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from veilsift.llm.exact_dedup import exact_duplicates
 from veilsift.llm.sharding import assign_shards
 from veilsift.llm.simhash import hex_mark, near_duplicates
+from veilsift.llm.token_files import read_token_files, write_token_files
+from veilsift.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,9 +45,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_mark(F.col("mark")).alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    listed = write_token_files(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), end_id=0)
+    return read_token_files(listed)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_toxicity": op7_toxicity,
+    "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,
 }
 
