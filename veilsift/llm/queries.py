@@ -7,17 +7,60 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilsift.llm.chat import digests, format_conversations
 from veilsift.llm.exact_dedup import exact_duplicates
 from veilsift.llm.sharding import assign_shards
 from veilsift.llm.simhash import hex_mark, near_duplicates
 from veilsift.llm.token_files import read_token_files, write_token_files
 from veilsift.llm.toxicity import toxicity
+from veilsift.llm.warc import read_archives, resolved, write_archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolved(read_archives(write_archives(table(spark, sf_dir, "pages"))))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact")
+
+
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), r AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to, url, true AS intact
+FROM r
+"""
+
+#: A conversation whose texts hold control strings.
+HOSTILE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = spark.createDataFrame(HOSTILE, "conv_id bigint, turn bigint, role string, text string")
+    return digests(format_conversations(rows.unionByName(hostile)))
+
+
+OP2_SQL = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(24 + length(text) + length(regexp_replace(text, '[^|<\\[]', '', 'g')) + length(role) + length(regexp_replace(role, '[^|<\\[\n]', '', 'g')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 15 by the bounded-load ring at load factor 1: counts at most one apart (law ``rows``)."""
     placed = assign_shards(table(spark, sf_dir, "documents"), shards=16, load_factor=1.0)
@@ -57,6 +100,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_chat": op2_chat,
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_toxicity": op7_toxicity,
@@ -64,4 +109,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_chat": OP2_SQL, "op4_exact_dedup": OP4_SQL}

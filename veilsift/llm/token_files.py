@@ -115,7 +115,7 @@ class SequenceWriter:
 
     def __init__(self, uri: str, kind: str, length: int) -> None:
         fs, path = opened(uri)
-        self.sink = fs.open_output_stream(path)
+        self.sink = fs.open_output_stream(path, compression=None)
         self.schema, self.kind, self.length = layout(kind, length), kind, length
         self.out = pa.ipc.new_file(self.sink, self.schema)
         self.tokens, self.masks, self.held, self.total = [], [], 0, 0
@@ -164,7 +164,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, length:
             for lo, texts in slices(batch.column(1)):
                 if out is None:
                     out, (fs, inner) = SequenceWriter(path, kind, length), opened(index)
-                    sink = fs.open_output_stream(inner)
+                    sink = fs.open_output_stream(inner, compression=None)
                     listed = pa.ipc.new_file(sink, listed_schema())
                 firsts, counts = [], []
                 for raw in encoder.encode(texts):
