@@ -1,13 +1,26 @@
 """From raw documents to token ids: toxicity, exact and near duplicates, benchmark leaks, encoding.
 
-Each stage takes (spark, docs, sf_dir); ``docs`` are the rows that its predecessor kept.
+Each stage takes (spark, docs, sf_dir); ``docs`` are the rows that its predecessor kept, and all but the last return the
+columns of documents. A stage may be run by itself over any rows of that shape.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from veilsift.llm import queries
+from veilsift.llm.common import settled
+from veilsift.llm.decontamination import decontaminated
 from veilsift.llm.exact_dedup import deduplicated
+from veilsift.llm.sentencepiece import encoded
+from veilsift.llm.simhash import without_similar
+from veilsift.llm.toxicity import untoxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels outside the held-out fold, doesn't reject."""
+    return untoxic(docs, queries.table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,16 +28,30 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return deduplicated(docs)
 
 
-STAGES = [("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of documents whose sets of five-word shingles have a similarity of 0.8 or more."""
+    return without_similar(docs, 0.8)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark item has leaked into."""
+    return decontaminated(docs, queries.table(spark, sf_dir, "benchmark"))
+
 
-#: No SQL states all stages; the tests hold each against a plain version.
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_ids and ids of each document."""
+    ids = encoded(docs, queries.piece_model())
+    return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids")
+
+
+STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("simhash near-dedup", near), ("decontamination", leaks), ("sentencepiece", encode)]
+
+#: No SQL states training, tiling or Viterbi search; the tests hold each stage against a plain version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written to the shared folder and read again."""
-    from veilsift.llm.common import settled
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = settled(stage(spark, docs, sf_dir), name.replace(" ", "-"))

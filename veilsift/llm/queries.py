@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilsift.llm.chat import digests, format_conversations
+from veilsift.llm.decontamination import contamination
 from veilsift.llm.exact_dedup import exact_duplicates
+from veilsift.llm.ownership import secret_scan
+from veilsift.llm.sentencepiece import summaries
 from veilsift.llm.sharding import assign_shards
 from veilsift.llm.simhash import hex_mark, near_duplicates
 from veilsift.llm.token_files import read_token_files, write_token_files
@@ -88,14 +91,35 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_mark(F.col("mark")).alias("fingerprint"), "component_id")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def piece_model() -> str:
+    return tokenizer_file("piece_bpe_32k.model")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries(table(spark, sf_dir, "documents"), piece_model())
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    listed = write_token_files(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), end_id=0)
+    listed = write_token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
     return read_token_files(listed)
 
 
@@ -104,6 +128,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_decontamination": op6_decontamination,
+    "op8_secrets": op8_secrets,
     "op7_toxicity": op7_toxicity,
     "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import components, settled
+from veilsift.llm.common import components, settled, without
 
 CHUNK = 16_384
 SLICE = 65_536
@@ -124,24 +124,25 @@ def linked(marks: np.ndarray, residents: int, radius: int) -> np.ndarray:
     return label
 
 
-def stars(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) of a spanning star for each group within a tile; rows come sorted by tile and part, residents first."""
+def stars(batches: Iterator[pa.RecordBatch], radius: int, words: tuple[str, ...], node: str) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of a spanning star for each group within a tile; rows come sorted by tile and part.
+
+    ``words``: the columns of a fingerprint's 64-bit words; ``node``: the column of the names to put into edges.
+    """
     left: list[pa.Table] = []
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
         keys = np.stack([table.column(c).to_numpy() for c in ("tile", "part")], axis=1)
-        marks = table.column("mark").to_numpy().view(np.uint64)
-        home = table.column("resident").to_numpy(zero_copy_only=False).astype(bool)
+        marks = np.stack([table.column(c).to_numpy().view(np.uint64) for c in words], axis=1)
+        names, home = table.column(node).to_numpy(), table.column("resident").to_numpy(zero_copy_only=False).astype(bool)
         starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-        for lo, hi in zip(starts, [*starts[1:], len(keys)], strict=True):
-            if hi - lo < 2:
-                continue
-            order = np.argsort(~home[lo:hi], kind="stable")
-            rows = marks[lo:hi][order]
-            label = linked(rows[:, None], int(home[lo:hi].sum()), radius)
+        ends = np.r_[starts[1:], len(keys)]
+        for lo, hi in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
+            order = lo + np.argsort(~home[lo:hi], kind="stable")
+            label = linked(marks[order], int(home[lo:hi].sum()), radius)
             tied = np.flatnonzero(label != np.arange(hi - lo))
             if len(tied):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[tied].view(np.int64)), pa.array(rows[label[tied]].view(np.int64))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[order[tied]]), pa.array(names[order[label[tied]]])], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -158,18 +159,22 @@ def stars(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
         yield from solve(pa.concat_tables(left))
 
 
-def near_edges(marks: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges that connect the distinct fingerprints of ``marks`` (column mark) within ``radius`` bits, exactly."""
-    placed = settled(tiles(marks, radius, blocks_for(marks.count())), "tiles")
-    parts = F.lit(0)
+def compared(placed: DataFrame, radius: int, words: tuple[str, ...], node: str) -> DataFrame:
+    """Edges that connect the rows of ``placed`` (tile, resident, ``node``, ``words``) that share a tile and lie within ``radius``."""
     heavy = placed.where("resident").groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("tile", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
     if heavy.isEmpty():
-        split = placed.withColumn("part", parts)
+        split = placed.withColumn("part", F.lit(0))
     else:  # every row meets every part; it is a resident of one
-        own = F.pmod(F.xxhash64("mark"), F.coalesce("parts", F.lit(1)))
+        own = F.pmod(F.xxhash64(node), F.coalesce("parts", F.lit(1)))
         split = placed.join(heavy, "tile", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
         split = split.withColumn("resident", F.col("resident") & (F.col("part") == own)).drop("parts")
-    return split.repartition("tile", "part").sortWithinPartitions("tile", "part").mapInArrow(lambda batches: stars(batches, radius), "a bigint, b bigint")
+    dealt = split.repartition("tile", "part").sortWithinPartitions("tile", "part")
+    return dealt.mapInArrow(lambda batches: stars(batches, radius, words, node), "a bigint, b bigint")
+
+
+def near_edges(marks: DataFrame, radius: int = 2) -> DataFrame:
+    """Edges that connect the distinct fingerprints of ``marks`` (column mark) within ``radius`` bits, exactly."""
+    return compared(settled(tiles(marks, radius, blocks_for(marks.count())), "tiles"), radius, ("mark",), "mark")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -187,3 +192,55 @@ def hex_mark(mark):
     """16 lower-case hex digits of a signed long."""
     return F.lpad(F.lower(F.hex(mark)), 16, "0")
 
+
+
+#: For similarity of word sets: shingles, 64-bit words of a fingerprint, bands of least hashes and hashes in a band.
+WIDE_SHINGLE, WIDE_WORDS, BANDS, ROWS = 5, 4, 16, 4
+_STRIDES = (np.random.default_rng(20).integers(1, 1 << 63, WIDE_WORDS + BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+WIDE = ("m0", "m1", "m2", "m3")
+
+
+def radius_for(similarity: float, bits: int = 64 * WIDE_WORDS) -> int:
+    """Bits in which fingerprints of two equally large sets of that Jaccard similarity differ on average."""
+    return round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_marks(docs: DataFrame) -> DataFrame:
+    """doc_id, a 256-bit fingerprint (m0 to m3) of the set of five-word shingles, and its band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, bands = [], []
+            for t in batch.column(1).cast(pa.binary()):
+                own = np.unique(shingle_hashes(words_of(t.as_py()), WIDE_SHINGLE))
+                marks.append([majority_bits(mixed(own * x)) for x in _STRIDES[:WIDE_WORDS]])
+                least = [int(mixed(own * x).min()) if len(own) else 0 for x in _STRIDES[WIDE_WORDS:]]
+                bands.append([hash((i, *least[i * ROWS : (i + 1) * ROWS])) for i in range(BANDS)])
+            columns = np.array(marks, np.uint64).reshape(-1, WIDE_WORDS).view(np.int64).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", *WIDE, "bands"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, m0 bigint, m1 bigint, m2 bigint, m3 bigint, bands array<bigint>")
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads the high bits of a product over all bits."""
+    x = x ^ (x >> np.uint64(32))
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """node and root (smallest doc_id) for the documents that have similar ones: five-word shingles, Jaccard ``similarity`` or more as the fingerprints tell.
+
+    Documents meet in tiles of those that share the least hashes of a band, and are compared there as elsewhere in this
+    module. A row without doc_id has no group.
+    """
+    marks = settled(wide_marks(docs.where("doc_id is not null")), "wide")
+    placed = marks.select(F.posexplode("bands").alias("band", "key"), "doc_id", *WIDE).select(F.xxhash64("band", "key").alias("tile"), F.lit(True).alias("resident"), "doc_id", *WIDE)
+    return components(compared(placed, radius_for(similarity), WIDE, "doc_id"))
+
+
+def without_similar(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with the smallest doc_id of each group of similar documents; columns are kept."""
+    gone = settled(similar_groups(docs, similarity).where("node <> root").select(F.col("node").alias("doc_id")), "similar")
+    return without(docs, gone)
