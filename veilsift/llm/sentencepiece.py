@@ -235,7 +235,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
         pieces = Pieces.read(model)
         for batch in batches:
             for lo, texts in slices(batch.column(1)):
-                raw = pieces.encode(texts)
+                raw = pieces.encode(texts.to_pylist())
                 ends = np.cumsum([0, *(len(x) // 4 for x in raw)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), ids], ["doc_id", "ids"])
@@ -254,7 +254,7 @@ def summaries(docs: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             for lo, texts in slices(batch.column(1)):
                 rows = []
-                for doc, text, raw in zip(batch.column(0).slice(lo, len(texts)).to_pylist(), texts, pieces.encode(texts), strict=True):
+                for doc, text, raw in zip(batch.column(0).slice(lo, len(texts)).to_pylist(), texts.to_pylist(), pieces.encode(texts.to_pylist()), strict=True):
                     again = pieces.decode(np.frombuffer(raw, "<i4"))
                     rows.append((doc, len(raw) // 4, zlib.crc32(raw), zlib.crc32(again.encode()), len(again), again == (text or "").replace(SPACE, " ")))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())

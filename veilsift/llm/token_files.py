@@ -2,8 +2,8 @@
 
 Documents are dealt into ranges of doc_id; each range is encoded, packed end to end into sequences of ``length`` ids and
 written as one file whose record batches hold ``tokens: fixed_size_list<uint16|uint32>[length]`` and
-``mask: fixed_size_list<uint8>[length]`` (0 padding, 1 token, 2 last token of a document), with an index file
-(doc_id, first, count) beside it. Memory-mapped, any sequence is read without a copy: ``sequence(path, k)``.
+``mask: fixed_size_list<bool>[length]`` (false: padding), with an index file (doc_id, first, count) beside it. Memory-mapped,
+any sequence and its mask are read without a copy: ``sequence(path, k)``.
 
 A text is cut at single spaces between two characters that aren't white space; the tokenizer's pre-tokens never cross
 such a place, so chunks are encoded once by the library and remembered. Strings of special tokens are ordinary text.
@@ -20,6 +20,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,10 @@ from tokenizers import Tokenizer
 from veilsift.llm.common import settled
 from veilsift.llm.storage import new_folder, opened, own_name
 
-LENGTH, GROUP, REMEMBERED, SLICE = 2048, 64, 700_000, 4_000_000
-BESIDE_SPACE = re.compile(r"\s | \s")
+LENGTH, GROUP, REMEMBERED, SLICE = 2048, 64, 500_000, 8_000_000
+#: White space in Unicode; a space beside any of it is no safe place to cut.
+_WHITE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+BESIDE_SPACE = f"{_WHITE} | {_WHITE}"
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 
@@ -52,10 +56,17 @@ class ChunkEncoder:
         return _encoders[path, kind]
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
-        """The text in pieces whose encodings, one after another, are the text's; each but the first begins with its space."""
-        parts = SAFE_SPACE.split(text) if BESIDE_SPACE.search(text) else text.split(" ")
-        return parts
+    def chunks(texts: pa.Array) -> pa.ListArray:
+        """Each text in pieces whose encodings, one after another, are the text's; each but the first begins with its space."""
+        odd = pc.match_substring_regex(texts, BESIDE_SPACE)
+        cut = pc.split_pattern(texts, " ")
+        if not pc.any(odd).as_py():
+            return cut
+        where = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        careful = pa.array([SAFE_SPACE.split(t) for t in texts.take(pa.array(where)).to_pylist()], cut.type)
+        order = np.arange(len(texts))
+        order[where] = len(texts) + np.arange(len(where))
+        return pa.concat_arrays([cut, careful]).take(pa.array(order))
 
     def fresh(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks, each with a space before it.
@@ -78,36 +89,42 @@ class ChunkEncoder:
             found[x] = np.array(got.ids, self.kind).tobytes()
         return found
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes of ``kind``."""
-        cut = [self.chunks(t) if t else [] for t in texts]
-        wanted = {w for p in cut for w in p[1:]}
-        new = [x for x in wanted if x not in self.known]
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, each followed by ``end`` if given, and the number of ids of each."""
+        cut = self.chunks(texts.fill_null(""))
+        offsets = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        new = [x for x in words if x not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(wanted)
+            self.known = {x: self.known[x] for x in words if x in self.known}
         self.known.update(self.fresh(new))
-        heads = list({p[0] for p in cut if p})
-        first = {x: np.array(got.ids, self.kind).tobytes() for x, got in zip(heads, self.tokenizer.encode_batch_fast(heads, add_special_tokens=False), strict=True)}
-        get = self.known.__getitem__
-        return [first[p[0]] + b"".join(map(get, p[1:])) if p else b"" for p in cut]
-
-
-def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, list[str | None]]]:
+        heads = [words[c] for c in codes[offsets[:-1]].tolist()]
+        first = {x: np.array(got.ids, self.kind).tobytes() for x, got in zip(dict.fromkeys(heads), self.tokenizer.encode_batch_fast(list(dict.fromkeys(heads)), add_special_tokens=False), strict=True)}
+        entries = [self.known[x] for x in words] + [first[x] for x in heads] + [b"" if end is None else np.array([end], self.kind).tobytes()]
+        codes[offsets[:-1]] = len(words) + np.arange(len(heads))
+        codes = np.insert(codes, offsets[1:], len(entries) - 1)
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // np.dtype(self.kind).itemsize
+        blob, starts = np.frombuffer(b"".join(entries), self.kind), np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        before = np.cumsum(each) - each
+        ids = blob[np.repeat(starts[codes] - before, each) + np.arange(int(each.sum()))]
+        counts = np.add.reduceat(each, offsets[:-1] + np.arange(len(heads))) if len(heads) else np.zeros(0, np.int64)
+        return ids, counts
+
+
+def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, pa.Array]]:
     """Runs of rows with about ``most`` bytes of text."""
-    lo, size, run = 0, 0, []
-    for i, t in enumerate(texts):
-        run.append(t.as_py())
-        size += len(run[-1] or "")
-        if size >= most:
-            yield lo, run
-            lo, size, run = i + 1, 0, []
-    if run:
-        yield lo, run
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, texts.slice(lo, hi - lo)
+        lo = hi
 
 
 def layout(kind: str, length: int) -> pa.Schema:
-    return pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(np.dtype(kind)), length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(np.dtype(kind)), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class SequenceWriter:
@@ -118,33 +135,29 @@ class SequenceWriter:
         self.sink = fs.open_output_stream(path, compression=None)
         self.schema, self.kind, self.length = layout(kind, length), kind, length
         self.out = pa.ipc.new_file(self.sink, self.schema)
-        self.tokens, self.masks, self.held, self.total = [], [], 0, 0
+        self.tokens, self.held, self.total = [], 0, 0
 
     def add(self, ids: np.ndarray) -> None:
-        mask = np.ones(len(ids), np.uint8)
-        mask[-1:] = 2
         self.tokens.append(ids)
-        self.masks.append(mask)
         self.held += len(ids)
         self.total += len(ids)
         if self.held >= self.length * GROUP:
             self.write(self.held // (self.length * GROUP) * self.length * GROUP)
 
     def write(self, n: int) -> None:
-        tokens, masks = np.concatenate(self.tokens), np.concatenate(self.masks)
+        tokens = np.concatenate(self.tokens)
         for lo in range(0, n, self.length * GROUP):
-            some = slice(lo, min(n, lo + self.length * GROUP))
-            columns = [pa.FixedSizeListArray.from_arrays(pa.array(x[some]), self.length) for x in (tokens, masks)]
+            some = tokens[lo : min(n, lo + self.length * GROUP)]
+            mask = np.arange(len(some)) < self.held - lo
+            columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (some, mask)]
             self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
-        self.tokens, self.masks, self.held = [tokens[n:]], [masks[n:]], len(tokens) - n
+        self.tokens, self.held = [tokens[n:]], max(0, self.held - n)
 
     def close(self) -> None:
         if self.held:
             pad = -self.held % self.length
             self.tokens.append(np.zeros(pad, self.kind))
-            self.masks.append(np.zeros(pad, np.uint8))
-            self.held += pad
-            self.write(self.held)
+            self.write(self.held + pad)
         self.out.close()
         self.sink.close()
 
@@ -153,7 +166,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, length:
     """Writes the files and returns their list, settled: part, path, index, documents, ids; parts in ascending doc_id order."""
     spark = docs.sparkSession
     folder = new_folder(spark, "tokens")
-    end = np.array([end_id], kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = ChunkEncoder.of(tokenizer, kind), TaskContext.get().partitionId()
@@ -166,14 +178,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, length:
                     out, (fs, inner) = SequenceWriter(path, kind, length), opened(index)
                     sink = fs.open_output_stream(inner, compression=None)
                     listed = pa.ipc.new_file(sink, listed_schema())
-                firsts, counts = [], []
-                for raw in encoder.encode(texts):
-                    ids = np.concatenate([np.frombuffer(raw, kind), end])
-                    firsts.append(out.total)
-                    counts.append(len(ids))
-                    out.add(ids)
+                ids, counts = encoder.encode(texts, end_id)
+                firsts = out.total + np.cumsum(counts) - counts
+                out.add(ids)
                 documents += len(texts)
-                listed.write_batch(pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(firsts, pa.int64()), pa.array(counts, pa.int64())], schema=listed_schema()))
+                listed.write_batch(pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(firsts), pa.array(counts)], schema=listed_schema()))
         if out is not None:
             out.close()
             listed.close()
@@ -190,12 +199,12 @@ def listed_schema() -> pa.Schema:
     return pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("count", pa.int64())])
 
 
-def sequence(uri: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+def sequence(uri: str, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
     """Ids and mask of the k-th sequence of a file, as views of the mapped file."""
     fs, path = opened(uri)
-    source = pa.memory_map(path) if isinstance(fs, type(opened("/")[0])) else fs.open_input_file(path)
-    batch = pa.ipc.open_file(source).get_batch(k // GROUP)
-    return tuple(c.slice(k % GROUP, 1).flatten().to_numpy() for c in batch.columns)
+    source = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
+    tokens, mask = (c.slice(k % GROUP, 1).flatten() for c in pa.ipc.open_file(source).get_batch(k // GROUP).columns)
+    return tokens.to_numpy(), mask
 
 
 def read_documents(path: str, index: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
