@@ -106,7 +106,8 @@ def secret_scan(docs: DataFrame, repository: Column | None = None, owner: Column
     judged = each.join(verdicts, "value").where((F.col("kind") < 3) | (F.col("random") & (F.col("owners") == 1)))
     live = F.col("random") & ~F.col("copied")
     told = judged.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("kept"), F.sum(live.cast("bigint")).alias("n_live"), F.sum(F.col("copied").cast("bigint")).alias("n_copied"))
-    rows = keyed.select("doc_id", "row_key").join(told, "row_key", "left")
+    rows = keyed.select("doc_id", "row_key")  # those without candidates have no key and stay where they are
+    rows = rows.where("row_key is not null").join(told, "row_key", "left").unionByName(rows.where("row_key is null"), allowMissingColumns=True)
     kept = F.coalesce("kept", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
     base = F.filter("kept", lambda s: s["kind"] < 3)
     names = F.array(*map(F.lit, KINDS))
