@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import uuid
 from datetime import datetime
 
@@ -18,6 +19,8 @@ from veilsift.operators.detect import fingerprint
 
 SCHEMAS = {"cursors": model.CURSOR, "findings": model.FINDING, "gaps": model.GAP, "events": model.EVENT, "policies": model.POLICY, "meta": model.META, "secrets": "fingerprint string, kind string, label string, masked string, confidence string, first_seen timestamp, last_seen timestamp, copies bigint, alias string"}
 PROBE_SPACE = "key-probe"
+#: Versions kept beside the present one and the one before, for readers that began earlier.
+KEPT = 3
 
 
 class State:
@@ -48,15 +51,16 @@ class State:
 
     def write(self, name: str, rows: DataFrame) -> None:
         """Replaces a table; ``rows`` may be made from its present version."""
-        before, version = self.version(name), uuid.uuid4().hex
+        before, version = self.version(name), f"v{time.time_ns():020d}-{uuid.uuid4().hex}"
         rows.select(*model.names(SCHEMAS[name])).write.parquet(f"{self.folder}/{name}/{version}")
         stream = self._fs.create(self._path(f"{self.folder}/{name}/CURRENT"), True)
         try:
             stream.write(bytearray(version.encode()))
         finally:
             stream.close()
-        if before is not None:
-            self._fs.delete(self._path(f"{self.folder}/{name}/{before}"), True)
+        old = sorted(x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.folder}/{name}")))
+        for x in [v for v in old if v.startswith("v") and v < (before or "")][: -KEPT or None]:
+            self._fs.delete(self._path(f"{self.folder}/{name}/{x}"), True)  # a reader may still be at a newer one
 
     def replace_paths(self, name: str, paths: DataFrame, rows: DataFrame) -> None:
         """Drops the rows of ``paths`` and adds ``rows``."""
