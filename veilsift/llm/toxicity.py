@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from veilsift.llm.common import without
 
 ORDERS, BITS, LEAST_RATIO, LEAST_DOCS = (4, 5), 20, 1.5, 5
-SAMPLE, SAMPLE_BYTES = 6000, 24_000_000
+SAMPLE, SAMPLE_BYTES = 4000, 12_000_000
 SLICE = 1 << 20
 THRESHOLD = 0.3
 
