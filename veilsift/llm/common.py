@@ -53,6 +53,12 @@ def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFra
     return docs.join(gone, docs[key].eqNullSafe(gone["__gone"]), "left_anti")
 
 
+def lowest(edges: DataFrame) -> DataFrame:
+    """u and m, its smallest neighbour, as a table of its own: sent to all tasks if few, else joined by a shuffle whose
+    large side Spark can split where one node has very many edges."""
+    return few(settled(edges.groupBy("u").agg(F.min("v").alias("m")), "lowest"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (long columns ``a``, ``b``): rows ``node``, ``root``, the smallest node reachable.
 
@@ -64,10 +70,9 @@ def components(edges: DataFrame) -> DataFrame:
     e, seen = settled(e, "cc"), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = lowest(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
+        small = large.join(lowest(large), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         e = settled(small.where("u <> v").distinct(), "cc")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
