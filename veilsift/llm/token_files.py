@@ -30,7 +30,7 @@ from tokenizers import Tokenizer
 from veilsift.llm.common import settled
 from veilsift.llm.storage import new_folder, opened, own_name
 
-LENGTH, GROUP, REMEMBERED, SLICE = 2048, 64, 500_000, 8_000_000
+LENGTH, GROUP, REMEMBERED, SLICE = 2048, 64, 300_000, 2_500_000
 #: White space in Unicode; a space beside any of it is no safe place to cut.
 _WHITE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 BESIDE_SPACE = f"{_WHITE} | {_WHITE}"
@@ -76,9 +76,8 @@ class ChunkEncoder:
         """
         plain = [x for x in chunks if x and " " not in x]
         found: dict[str, bytes] = {}
-        runs = [plain[i : i + 2000] for i in range(0, len(plain), 2000)]
-        for run, got in zip(runs, self.tokenizer.encode_batch_fast([" " + " ".join(x) for x in runs], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, self.kind)
+        for run in (plain[i : i + 2000] for i in range(0, len(plain), 2000)):
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(run)], add_special_tokens=False)[0].ids, self.kind)
             starts = np.flatnonzero(self.spaced[ids])
             if len(starts) == len(run):
                 raw, size = ids.tobytes(), ids.itemsize
