@@ -2,7 +2,8 @@
 
 Features are the hashed byte n-grams of the lower-cased text, present or not, scaled by their smoothed naive Bayes
 log-count ratio; a logistic regression is trained over them. N-grams whose ratio is nearer to zero than ``LEAST_RATIO``
-carry no feature. Scoring reads whole texts in slices, so its memory is bounded.
+carry no feature. The ratios are counted
+by the tasks and only buckets that tell come to the driver. Scoring reads whole texts in slices, so its memory is bounded.
 
 ``SAMPLE`` labelled rows at most, chosen by a hash of doc_id, and of those about ``SAMPLE_BYTES`` of text, are the bounded
 sample that the model is fitted on; the intercept is corrected for the sample's share of toxic rows. Every document is
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import without
+from veilsift.llm.common import settled, without
 
-ORDERS, BITS, LEAST_RATIO, LEAST_DOCS = (4, 5), 20, 1.5, 5
+ORDERS, BITS, LEAST_RATIO, LEAST_DOCS = (4, 5, 6, 7, 8), 22, 1.5, 5
 SAMPLE, SAMPLE_BYTES = 4000, 12_000_000
 SLICE = 1 << 20
 THRESHOLD = 0.3
@@ -61,7 +62,7 @@ class Model:
     intercept: float
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
-        chosen, dense = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.float64)
+        chosen, dense = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.float32)
         chosen[self.buckets], dense[self.buckets] = True, self.weights
         return chosen, dense
 
@@ -75,26 +76,27 @@ def score_of(found: np.ndarray, dense: np.ndarray, intercept: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(found: list[np.ndarray], toxic: np.ndarray, share: float, steps: int = 150, shrink: float = 1e-5, rate: float = 0.05) -> Model:
-    """Naive Bayes ratios of the buckets found in each row, then logistic regression over the scaled features, by Adam.
+def log_ratios(yes: np.ndarray, no: np.ndarray, n_yes: int, n_no: int) -> np.ndarray:
+    """Smoothed naive Bayes log-count ratios from the toxic and other documents that hold each bucket."""
+    return np.log((yes + 1) / (n_yes + 2)) - np.log((no + 1) / (n_no + 2))
 
-    ``share``: toxic rows among all labelled rows.
+
+def constant(share: float, rows: int) -> Model:
+    """The model that knows of no feature: the share of toxic labels, smoothed."""
+    p = (share * rows + 1) / (rows + 2)
+    return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(p / (1 - p))))
+
+
+def train(kept: list[np.ndarray], toxic: np.ndarray, buckets: np.ndarray, ratio: np.ndarray, share: float, steps: int = 150, shrink: float = 1e-4, rate: float = 0.05) -> Model:
+    """Logistic regression over the features of each row scaled by their ratios, by Adam.
+
+    ``kept``: places in ``buckets`` of each row's features; ``share``: toxic rows among all labelled rows.
     """
-    size, yes = 1 << BITS, toxic.astype(bool)
-    if yes.all() or not yes.any():
-        p = (share * len(yes) + 1) / (len(yes) + 2)
-        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(p / (1 - p))))
-    counts = [np.bincount(np.concatenate([x for x, t in zip(found, yes, strict=True) if t == kind]), minlength=size) for kind in (True, False)]
-    ratio = np.log((counts[0] + 1) / (yes.sum() + 2)) - np.log((counts[1] + 1) / ((~yes).sum() + 2))
-    chosen = (np.abs(ratio) >= LEAST_RATIO) & (counts[0] + counts[1] >= LEAST_DOCS)
-    buckets = np.flatnonzero(chosen)
-    place = np.full(size, -1)
-    place[buckets] = np.arange(len(buckets))
-    kept = [place[x[chosen[x]]] for x in found]
+    yes = toxic.astype(bool)
     lengths = np.array([len(x) for x in kept])
     columns, rows = np.concatenate(kept).astype(np.int64), np.repeat(np.arange(len(kept)), lengths)
-    scale, scaled = 1 / np.sqrt(np.maximum(1, lengths)), ratio[buckets]
-    values, n = scaled[columns] * scale[rows], len(kept)
+    scale = 1 / np.sqrt(np.maximum(1, lengths))
+    values, n = ratio[columns] * scale[rows], len(kept)
     w, b = np.zeros(len(buckets)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):
@@ -106,7 +108,7 @@ def fit(found: list[np.ndarray], toxic: np.ndarray, share: float, steps: int = 1
         w -= rate * (m / up) / (np.sqrt(v / down) + 1e-8)
         b -= rate * (mb / up) / (np.sqrt(vb / down) + 1e-8)
     b += np.log(share / (1 - share)) - np.log(yes.sum() / (~yes).sum())
-    return Model(buckets, w * scaled, float(b))
+    return Model(buckets, w * ratio, float(b))
 
 
 def learn(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sample: int = SAMPLE) -> Model:
@@ -132,17 +134,41 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sa
             taken.append((r["doc_id"],))
             size += r["size"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fitted = settled(rows.join(F.broadcast(spark.createDataFrame(taken, "doc_id bigint")), "doc_id").select("doc_id", "toxic", "text"), "sample")
+    sizes = {r["toxic"]: r["n"] for r in fitted.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share, n = totals.get(1, 0) / sum(totals.values()), sum(sizes.values())
+    if not sizes.get(0) or not sizes.get(1):
+        return constant(share, n)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, 1 << BITS), np.int32)
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                held[toxic, present(text.as_py())] += 1
+        at = np.flatnonzero(held.any(axis=0))
+        for lo in range(0, len(at), 100_000):
+            some = at[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[1, some].astype(np.int64)), pa.array(held[0, some].astype(np.int64))], ["bucket", "yes", "no"])
+
+    counted = fitted.select("toxic", "text").mapInArrow(count, "bucket int, yes bigint, no bigint").groupBy("bucket").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    ratio = F.log((F.col("yes") + 1) / (sizes[1] + 2)) - F.log((F.col("no") + 1) / (sizes[0] + 2))
+    told = counted.where((F.col("yes") + F.col("no") >= LEAST_DOCS) & (F.abs(ratio) >= LEAST_RATIO)).toArrow().sort_by("bucket")  # of 2^BITS buckets, those that tell
+    buckets = told.column("bucket").to_numpy().astype(np.int64)
+    if not len(buckets):
+        return constant(share, n)
+    shared = spark.sparkContext.broadcast(buckets)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen, place = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.int32)
+        chosen[shared.value], place[shared.value] = True, np.arange(len(shared.value))
         for batch in batches:
-            found = [present(t.as_py()).astype("<u4").tobytes() for t in batch.column(2).cast(pa.binary())]
+            found = [place[present(t.as_py(), chosen)].astype("<i4").tobytes() for t in batch.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "toxic", "found"])
 
-    fitted = rows.join(F.broadcast(spark.createDataFrame(taken, "doc_id bigint")), "doc_id").select("doc_id", "toxic", "text")
-    got = fitted.mapInArrow(run, "doc_id bigint, toxic int, found binary").toArrow().sort_by("doc_id")
-    found = [np.frombuffer(x.as_py(), "<u4") for x in got.column("found")]
-    if not found:
-        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
-    return fit(found, got.column("toxic").to_numpy().astype(float), totals.get(1, 0) / sum(totals.values()))
+    got = fitted.mapInArrow(pick, "doc_id bigint, toxic int, found binary").toArrow().sort_by("doc_id")  # at most ``sample`` rows
+    kept = [np.frombuffer(x.as_py(), "<i4") for x in got.column("found")]
+    toxic = got.column("toxic").to_numpy().astype(float)
+    return train(kept, toxic, buckets, log_ratios(told.column("yes").to_numpy(), told.column("no").to_numpy(), sizes[1], sizes[0]), share)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -173,7 +199,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def untoxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; columns are kept."""
-    from veilsift.llm.common import settled
-
     verdicts = settled(toxicity(docs, labels), "toxicity")
     return without(docs, verdicts.where("predicted = 1"))
