@@ -30,7 +30,7 @@ from tokenizers import Tokenizer
 from veilsift.llm.common import settled
 from veilsift.llm.storage import new_folder, opened, own_name
 
-LENGTH, GROUP, REMEMBERED, SLICE = 2048, 64, 300_000, 2_500_000
+LENGTH, GROUP, REMEMBERED, SLICE = 2048, 64, 600_000, 6_000_000
 #: White space in Unicode; a space beside any of it is no safe place to cut.
 _WHITE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 BESIDE_SPACE = f"{_WHITE} | {_WHITE}"
