@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids or digests of at most this many rows are broadcast (16 bytes a row and more in memory); beyond it a shuffle join does it.
@@ -44,13 +44,19 @@ def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose ``key`` is in ``dropped`` (a null key equals a null key).
+def text_key(text: Column | str = "text") -> Column:
+    """With doc_id it names a row even where ids are missing or repeat; rows that agree in both are copies of each other."""
+    return F.xxhash64(text)
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id and text's key are in ``dropped`` (doc_id, text_key; null equals null).
 
     A dropped set of checked size is broadcast, so that texts stay where they are; a larger one is shuffled.
     """
-    gone = few(dropped.select(F.col(key).alias("__gone")).distinct())
-    return docs.join(gone, docs[key].eqNullSafe(gone["__gone"]), "left_anti")
+    gone = few(dropped.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
+    rows = docs.withColumn("__own", text_key())
+    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["__id"]) & (rows["__own"] == gone["__key"]), "left_anti").drop("__own")
 
 
 def lowest(edges: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import few, settled
+from veilsift.llm.common import few, settled, text_key, without
 
 SEED_TOKENS, COVERAGE, BLOCK_BYTES = 4, 0.6, 8_000_000
 _PARTED = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
@@ -163,7 +163,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> Dat
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_key"), "text")
+    rows = docs.select(F.col("doc_id").cast("bigint"), text_key().alias("text_key"), "text")
     found = None
     for block in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
@@ -185,10 +185,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> Dat
 def decontaminated(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> DataFrame:
     """``docs`` without those that a test item has leaked into; columns are kept."""
     hits = leaks(docs, benchmark, least)
-    gone = few(hits.select("doc_id", "text_key").distinct())
-    rows = docs.withColumn("__key", F.xxhash64("text"))
-    kept = rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["__key"] == gone["text_key"]), "left_anti")
-    return kept.drop("__key")
+    return without(docs, hits)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> DataFrame:
@@ -196,7 +193,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE
     hits = leaks(docs, benchmark, least).distinct()
     each = hits.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("coverage").alias("best_coverage"))
     each = few(each.withColumnRenamed("doc_id", "hit_id"))
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("key"))
+    rows = docs.select(F.col("doc_id").cast("bigint"), text_key().alias("key"))
     joined = rows.join(each, rows["doc_id"].eqNullSafe(each["hit_id"]) & (rows["key"] == each["text_key"]), "left")
     items = F.coalesce("items", F.array().cast("array<bigint>"))
     return joined.select("doc_id", F.col("items").isNotNull().alias("leaked"), items.alias("items"), F.coalesce("best_coverage", F.lit(0.0)).alias("best_coverage"))

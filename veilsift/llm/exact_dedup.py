@@ -15,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import few, settled, shared_path, without
+from veilsift.llm.common import few, settled, shared_path, text_key, without
 
 BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "65536"}
-ENTRY = "digest string, order struct<less:int, none:boolean, doc_id:bigint, row:bigint>, members bigint"
+ENTRY = "digest string, order struct<less:int, none:boolean, doc_id:bigint, text_key:bigint, row:bigint>, members bigint"
 
 
 def squeezed(text: Column) -> Column:
@@ -31,41 +31,40 @@ def sha256_of(text: Column) -> Column:
 
 
 class MergeIndex:
-    """Sorted digest runs in level 0 and one compacted level 1 under ``path`` in the shared folder."""
+    """Sorted digest runs and compacted levels under ``path`` in the shared folder; a compaction seals the runs before it."""
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark, self.path, self.level = spark, path or shared_path(spark, "lsm"), 0
 
+    def read(self, *names: str) -> DataFrame:
+        return self.spark.read.schema(ENTRY).parquet(*[f"{self.path}/{n}" for n in names])
+
     def flush(self, entries: DataFrame) -> None:
         """Writes each partition of ``entries`` (digest, order, members) as one sorted run with its filter."""
-        entries.sortWithinPartitions("digest").write.mode("append").options(**BLOOM).parquet(f"{self.path}/runs")
-
-    def runs(self) -> DataFrame:
-        return self.spark.read.schema(ENTRY).parquet(f"{self.path}/runs")
+        entries.sortWithinPartitions("digest").write.mode("append").options(**BLOOM).parquet(f"{self.path}/runs{self.level}")
 
     def compact(self) -> DataFrame:
-        """Merges all runs with the former level: smallest order and sum of members for each digest."""
-        before = [self.compacted()] if self.level else []
-        merged = self.runs()
-        for x in before:
-            merged = merged.unionByName(x)
+        """Merges the runs since the last compaction with its level: smallest order and sum of members for each digest."""
+        merged = self.read(f"runs{self.level}", *([f"level{self.level}"] if self.level else []))
         merged = merged.groupBy("digest").agg(F.min("order").alias("order"), F.sum("members").alias("members"))
         merged.sortWithinPartitions("digest").write.options(**BLOOM).parquet(f"{self.path}/level{self.level + 1}")
         self.level += 1
-        return self.compacted()
-
-    def compacted(self) -> DataFrame:
-        return self.spark.read.schema(ENTRY).parquet(f"{self.path}/level{self.level}")
+        return self.read(f"level{self.level}")
 
 
 def exact_duplicates(docs: DataFrame, digest=sha256_of) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. ``digest``: Column -> Column, of the squeezed text."""
+    return decided(docs, digest).drop("text_key")
+
+
+def decided(docs: DataFrame, digest=sha256_of) -> DataFrame:
+    """``exact_duplicates`` with text_key, the key of the row's own text."""
     spark = docs.sparkSession
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = base.select("doc_id", F.length("text").alias("chars"), squeezed(F.col("text")).alias("norm")).withColumn("digest", digest(F.col("norm")))
+    base = docs.select("doc_id", text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = base.select("doc_id", "text_key", F.length("text").alias("chars"), squeezed(F.col("text")).alias("norm")).withColumn("digest", digest(F.col("norm")))
 
     def entries(rows: DataFrame) -> DataFrame:
-        order = F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.monotonically_increasing_id().alias("row"))
+        order = F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"), F.monotonically_increasing_id().alias("row"))
         return rows.select("digest", order.alias("order"), F.lit(1).cast("bigint").alias("members"))
 
     index = MergeIndex(spark)
@@ -77,10 +76,10 @@ def exact_duplicates(docs: DataFrame, digest=sha256_of) -> DataFrame:
         keyed.join(hits, F.col("digest") == F.col("hit"), "left_semi").groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).where("lo <> hi").select("digest"),
         "unequal",
     )
-    rows = index.runs()
+    rows = index.read("runs0")
     if not unequal.isEmpty():  # texts that share a digest without being equal: their own bytes take the digest's place
         split = keyed.join(unequal, "digest", "left_semi").withColumn("digest", F.concat("digest", F.lit(":"), "norm"))
-        rows = settled(without(rows, unequal, "digest").unionByName(entries(split)), "split")
+        rows = settled(rows.join(unequal, "digest", "left_anti").unionByName(entries(split)), "split")
         level = rows.groupBy("digest").agg(F.min("order").alias("order"), F.sum("members").alias("members"))
     best = level.select("digest", F.col("order").alias("best"), "members")
     joined = rows.select("digest", "order").join(best, "digest")
@@ -89,15 +88,19 @@ def exact_duplicates(docs: DataFrame, digest=sha256_of) -> DataFrame:
         F.col("best.doc_id").alias("keep_id"),
         F.col("members").alias("group_size"),
         (F.col("order.row") == F.col("best.row")).alias("kept"),
-        F.col("digest").alias("text_sha256"),
+        F.substring_index("digest", ":", 1).alias("text_sha256"),
+        F.col("order.text_key").alias("text_key"),
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept."""
-    found = settled(exact_duplicates(docs).select("doc_id", "keep_id", "kept"), "decided")
-    gone = found.where(~F.col("kept") & ~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    found = settled(decided(docs).select("doc_id", "text_key", "kept"), "decided")
+    stay = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    again = found["doc_id"].eqNullSafe(stay["__id"]) & (found["text_key"] == stay["__key"])
+    dropped = found.where("not kept").join(stay, again, "left_semi")  # rows that repeat one that stays
+    gone = found.where("not kept").join(stay, again, "left_anti")
     out = without(docs, gone)
-    if not found.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).isEmpty():
-        return out.dropDuplicates(["doc_id"])  # rows that repeat a kept document
-    return out
+    if dropped.isEmpty():
+        return out
+    return out.withColumn("__own", text_key()).dropDuplicates(["doc_id", "__own"]).drop("__own")

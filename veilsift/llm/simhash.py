@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import components, settled, without
+from veilsift.llm.common import components, settled, text_key, without
 
 CHUNK = 16_384
 SLICE = 65_536
@@ -206,20 +206,20 @@ def radius_for(similarity: float, bits: int = 64 * WIDE_WORDS) -> int:
 
 
 def wide_marks(docs: DataFrame) -> DataFrame:
-    """doc_id, a 256-bit fingerprint (m0 to m3) of the set of five-word shingles, and its band keys."""
+    """doc_id, text_key, a 256-bit fingerprint (m0 to m3) of the set of five-word shingles, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks, bands = [], []
-            for t in batch.column(1).cast(pa.binary()):
+            for t in batch.column(2).cast(pa.binary()):
                 own = np.unique(shingle_hashes(words_of(t.as_py()), WIDE_SHINGLE))
                 marks.append([majority_bits(mixed(own * x)) for x in _STRIDES[:WIDE_WORDS]])
                 least = [int(mixed(own * x).min()) if len(own) else 0 for x in _STRIDES[WIDE_WORDS:]]
                 bands.append([hash((i, *least[i * ROWS : (i + 1) * ROWS])) for i in range(BANDS)])
             columns = np.array(marks, np.uint64).reshape(-1, WIDE_WORDS).view(np.int64).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", *WIDE, "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", *WIDE, "bands"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, m0 bigint, m1 bigint, m2 bigint, m3 bigint, bands array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), text_key().alias("text_key"), "text").mapInArrow(run, "doc_id bigint, text_key bigint, m0 bigint, m1 bigint, m2 bigint, m3 bigint, bands array<bigint>")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -229,18 +229,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """node and root (smallest doc_id) for the documents that have similar ones: five-word shingles, Jaccard ``similarity`` or more as the fingerprints tell.
+def surplus(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """doc_id and text_key of the documents that are similar to one with a smaller doc_id: sets of five-word shingles with a
+    Jaccard similarity of ``similarity`` or more, as the fingerprints tell.
 
     Documents meet in tiles of those that share the least hashes of a band, and are compared there as elsewhere in this
-    module. A row without doc_id has no group.
+    module; all connected ones are a group. A null doc_id comes last; rows that repeat the one that stays stay with it.
     """
-    marks = settled(wide_marks(docs.where("doc_id is not null")), "wide")
-    placed = marks.select(F.posexplode("bands").alias("band", "key"), "doc_id", *WIDE).select(F.xxhash64("band", "key").alias("tile"), F.lit(True).alias("resident"), "doc_id", *WIDE)
-    return components(compared(placed, radius_for(similarity), WIDE, "doc_id"))
+    marks = settled(wide_marks(docs).withColumn("node", F.monotonically_increasing_id()), "wide")
+    placed = marks.select(F.posexplode("bands").alias("band", "key"), "node", *WIDE).select(F.xxhash64("band", "key").alias("tile"), F.lit(True).alias("resident"), "node", *WIDE)
+    roots = components(compared(placed, radius_for(similarity), WIDE, "node"))
+    named = settled(marks.select("node", "doc_id", "text_key").join(roots, "node"), "groups")
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
+    others = named.join(first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))))
+    return others.select("doc_id", "text_key")
 
 
 def without_similar(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``docs`` with the smallest doc_id of each group of similar documents; columns are kept."""
-    gone = settled(similar_groups(docs, similarity).where("node <> root").select(F.col("node").alias("doc_id")), "similar")
-    return without(docs, gone)
+    return without(docs, settled(surplus(docs, similarity), "similar"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import settled, without
+from veilsift.llm.common import settled, text_key, without
 
 ORDERS, BITS, LEAST_RATIO, LEAST_DOCS = (4, 5, 6, 7, 8), 22, 1.5, 5
 SAMPLE, SAMPLE_BYTES = 4000, 12_000_000
@@ -171,18 +171,21 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sa
     return train(kept, toxic, buckets, log_ratios(told.column("yes").to_numpy(), told.column("no").to_numpy(), sizes[1], sizes[0]), share)
 
 
+SCORED = "doc_id bigint, text_key bigint, score double"
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of each row, from its whole text."""
+    """doc_id, key of the text and score of each row, from its whole text."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # at most 2^20 weights, a few thousand in practice
+    shared = spark.sparkContext.broadcast(model)  # at most 2^BITS weights, some ten thousand in practice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen, dense = shared.value.table()
         for batch in batches:
-            got = [score_of(present(t.as_py(), chosen), dense, shared.value.intercept) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], ["doc_id", "score"])
+            got = [score_of(present(t.as_py(), chosen), dense, shared.value.intercept) for t in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(got, pa.float64())], ["doc_id", "text_key", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, score double")
+    return docs.select(F.col("doc_id").cast("bigint"), text_key().alias("text_key"), "text").mapInArrow(run, SCORED)
 
 
 def every_fourth(doc_id: Column) -> Column:
@@ -192,12 +195,17 @@ def every_fourth(doc_id: Column) -> Column:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row; the fold ``held_out`` isn't learned from."""
+    return judged(docs, labels).drop("text_key")
+
+
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``toxicity`` with the key of each text."""
     model = learn(docs, labels, every_fourth(F.col("doc_id")))
     held = F.coalesce(every_fourth(F.col("doc_id")), F.lit(False))
-    return scored(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored(docs, model).select("doc_id", "text_key", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def untoxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; columns are kept."""
-    verdicts = settled(toxicity(docs, labels), "toxicity")
+    verdicts = settled(judged(docs, labels), "toxicity")
     return without(docs, verdicts.where("predicted = 1"))
