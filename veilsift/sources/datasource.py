@@ -111,5 +111,7 @@ class AgentChanges(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes both sources known to a session, and lets it hand filters to them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(AgentHistory)
     spark.dataSource.register(AgentChanges)

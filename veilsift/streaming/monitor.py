@@ -1,7 +1,7 @@
 """The resident monitor: changed artifacts are scanned as they change, and state tables keep what is live.
 
 Cursors say how far each artifact has been read. A file that only grew, of an agent whose files do so, is read from its
-cursor on and its findings are added; any other change replaces them. An artifact that is gone takes its findings along.
+cursor on and its findings are added; any other change, also one of equal size, replaces them. An artifact that is gone takes its findings along.
 Micro-batches run one at a time and gather what changes meanwhile.
 """
 
@@ -59,7 +59,7 @@ class Monitor:
         """Scans changed artifacts from where their cursors let them, and merges the findings."""
         c = self.state.read("cursors").select("path", F.col("device").alias("__d"), F.col("inode").alias("__i"), F.col("size").alias("__s"), F.col("offset").alias("__o"))
         tailed = F.col("adapter").isin([a.name for a in ADAPTERS if a.delta]) & (F.col("kind") == "jsonl")
-        grown = tailed & F.col("device").eqNullSafe(F.col("__d")) & F.col("inode").eqNullSafe(F.col("__i")) & (F.col("size") >= F.col("__o"))
+        grown = tailed & F.col("device").eqNullSafe(F.col("__d")) & F.col("inode").eqNullSafe(F.col("__i")) & (F.col("size") > F.col("__s"))
         todo = changed.join(c, "path", "left").withColumn("delta", F.coalesce(grown, F.lit(False))).withColumn("start", F.when(F.col("delta"), F.col("__o")).otherwise(F.lit(0).cast("bigint")))
         todo = todo.withColumn("delta", F.col("delta") | tailed).drop("__d", "__i", "__s", "__o").persist()
         n = todo.count()
@@ -115,6 +115,7 @@ class Monitor:
         outcomes = self.engine.apply(self.engine.plan(wanted))
         counts = {r["outcome"]: r["n"] for r in outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
         self.state.counted(**counts)
+        self.forget(outcomes.select("path").distinct())  # what has been edited is read anew as a whole
         self.reconcile()
         return outcomes
 
