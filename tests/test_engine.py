@@ -195,6 +195,8 @@ def test_data_source(spark, tmp_path):
     regions = spark.read.format("agent_history").option("adapter", "claude-code").option("home", str(tmp_path)).load()
     assert regions.where("store = 'prompt-history'").count() == 2
     assert regions.where("store = 'nothing'").count() == 0
+    one = spark.read.format("agent_history").options(adapter="claude-code", home=str(tmp_path), stores="subagents").load()
+    assert [r["store"] for r in one.collect()] == ["subagents"]
     assert {r["tag"] for r in regions.select("tag").distinct().collect()} == {"jsonl", "plain"}
 
 

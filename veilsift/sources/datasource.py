@@ -1,33 +1,32 @@
 """Spark data sources: ``agent_history`` (text regions of agents' stores, batch) and ``agent_changes`` (changed artifacts, stream).
 
-Register with ``register(spark)``. Options: adapter (one name, or all), home, tiers (comma-separated). A region partition is
-one artifact, so tasks read where files lie and long lists spread over them. Filters on adapter, store, path and kind are
-taken over by the source, so that files that can't match aren't opened.
+Register with ``register(spark)``. Options: adapter (one name, or all), home, tiers and stores (comma-separated). A region partition is
+one artifact, so tasks read where files lie and long lists spread over them. What the options leave out is never opened;
+filters of a query are applied by Spark (a reader that takes filters over keeps them for later queries of the same frame).
 """
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from veilsift import model
 from veilsift.sources import listing
 from veilsift.sources.extract import Region, items
 from veilsift.sources.stores import ADAPTERS, BY_NAME, SCANNED_BY_DEFAULT
 
-_KEYS = ("adapter", "store", "path")
-
 
 def artifacts_of(options: dict) -> list[tuple]:
     """Artifacts below the home folder of the options, in the tiers asked for."""
     adapters = [BY_NAME[options["adapter"]]] if options.get("adapter") else list(ADAPTERS)
     tiers = options.get("tiers", ",".join(SCANNED_BY_DEFAULT)).split(",")
+    stores = options["stores"].split(",") if options.get("stores") else None
     home, environment = options.get("home") or os.path.expanduser("~"), {} if options.get("home") else dict(os.environ)
-    return [a for adapter in adapters for root in listing.roots(adapter, home, environment) for a in listing.list_root(adapter, root)[1] if a[3] in tiers]
+    return [a for adapter in adapters for root in listing.roots(adapter, home, environment) for a in listing.list_root(adapter, root)[1] if a[3] in tiers and (stores is None or a[2] in stores)]
 
 
 class _Artifact(InputPartition):
@@ -37,21 +36,10 @@ class _Artifact(InputPartition):
 
 class RegionReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.options, self.wanted = options, {}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Takes equalities on the columns that tell which artifacts are meant."""
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in _KEYS:
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                name = f.attribute[0]
-                self.wanted[name] = self.wanted.get(name, values) & values
-            else:
-                yield f
+        self.options = options
 
     def partitions(self) -> list[_Artifact]:
-        found = [_Artifact(a[0], a[2], a[4], a[5]) for a in artifacts_of(self.options)]
-        return [p for p in found if all(getattr(p, k) in v for k, v in self.wanted.items())] or [_Artifact("", "", "", "none")]
+        return [_Artifact(a[0], a[2], a[4], a[5]) for a in artifacts_of(self.options)] or [_Artifact("", "", "", "none")]
 
     def read(self, partition: _Artifact) -> Iterator[tuple]:
         if partition.kind == "none":
@@ -111,7 +99,6 @@ class AgentChanges(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes both sources known to a session, and lets it hand filters to them."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Makes both sources known to a session."""
     spark.dataSource.register(AgentHistory)
     spark.dataSource.register(AgentChanges)
