@@ -62,7 +62,7 @@ def test_planted_passages_are_found_in_whatever_order(spark):
         docs.append((i, noise(100) + " " + " ".join(text.split()[: len(text.split()) // 3]) + " " + noise(100)))
     benchmark = spark.createDataFrame([*items, (None, "x y z"), (99, None), (98, "too short")], "item_id bigint, text string")
     out = {r["doc_id"]: r for r in D.contamination(cases.plain(spark, docs), benchmark).collect()}
-    assert {i: list(out[i]["items"]) for i in range(30) if out[i]["leaked"]} == {i: [x] for i, x in leaked.items()}
+    assert {i: list(r["items"]) for i, r in out.items()} == {i: [x] for i, x in leaked.items()}
     kept = {r["doc_id"] for r in D.decontaminated(cases.plain(spark, docs), benchmark).collect()}
     assert kept == {i for i, _ in docs} - set(leaked)
 
@@ -79,9 +79,7 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
 def test_awkward_rows_and_empty_tables(spark):
     benchmark = spark.createDataFrame([(1, cases.rows()[0][1])], "item_id bigint, text string")
     none = spark.createDataFrame([], "item_id bigint, text string")
-    out = D.contamination(cases.frame(spark), benchmark).collect()
-    assert len(out) == len(cases.rows())
-    assert {r["doc_id"] for r in out if r["leaked"]} == {1, 2, 12}
-    assert not any(r["leaked"] for r in D.contamination(cases.frame(spark), none).collect())
+    assert sorted(r["doc_id"] for r in D.contamination(cases.frame(spark), benchmark).collect()) == [1, 2, 12]
+    assert D.contamination(cases.frame(spark), none).count() == 0
     assert D.contamination(cases.frame(spark, []), benchmark).count() == 0
     assert D.decontaminated(cases.frame(spark), none).count() == len(cases.rows())

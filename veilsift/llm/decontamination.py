@@ -189,13 +189,13 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, least: float = COVERAG
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> DataFrame:
-    """One row per document: doc_id, leaked, items (of leaked items, ascending) and best_coverage (0 if none is leaked)."""
+    """A row for each document that an item has leaked into: doc_id, leaked (true), items (ascending) and best_coverage.
+
+    All documents are searched; clean ones have no row. Rows that repeat a document have a row each.
+    """
     hits = leaks(docs, benchmark, least).distinct()
     each = hits.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("coverage").alias("best_coverage"))
     each = few(each.withColumnRenamed("doc_id", "hit_id"))
     rows = docs.select(F.col("doc_id").cast("bigint"), text_key().alias("key"))
-    joined = rows.join(each, rows["doc_id"].eqNullSafe(each["hit_id"]) & (rows["key"] == each["text_key"]), "left")
-    items = F.coalesce("items", F.array().cast("array<bigint>"))
-    return joined.select("doc_id", F.col("items").isNotNull().alias("leaked"), items.alias("items"), F.coalesce("best_coverage", F.lit(0.0)).alias("best_coverage"))
-
-
+    joined = rows.join(each, rows["doc_id"].eqNullSafe(each["hit_id"]) & (rows["key"] == each["text_key"]))
+    return joined.select("doc_id", F.lit(True).alias("leaked"), "items", "best_coverage")
