@@ -95,3 +95,41 @@ def test_similar_documents_leave_one_and_others_stay(spark):
     half = [(200 + i, " ".join(docs[i][1].split()[:150] + list(rng.choice(words, 150)))) for i in range(10)]
     kept = {r["doc_id"] for r in without_similar(cases.plain(spark, docs + near + half)).collect()}
     assert kept == {i for i, _ in docs + half}
+
+
+def test_shortest_forests():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        n, m = 30, 120
+        edges = np.stack([rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 9, m)], axis=1)
+        edges = edges[edges[:, 0] != edges[:, 1]]
+        root = list(range(n))
+
+        def find(a, root=root):
+            while root[a] != a:
+                a = root[a]
+            return a
+
+        total, count = 0, 0
+        for a, b, d in sorted(edges.tolist(), key=lambda e: e[2]):
+            if find(a) != find(b):
+                root[find(a)] = find(b)
+                total, count = total + d, count + 1
+        taken = edges[simhash.shortest_forest(edges, n)]
+        assert (len(taken), taken[:, 2].sum()) == (count, total)
+
+
+def test_similarity_is_counted_exactly_near_the_threshold(spark):
+    rng = np.random.default_rng(12)
+    words = [f"term{i}" for i in range(3000)]
+    docs, want = [], set()
+    for i in range(60):
+        base = list(rng.choice(words, 200))
+        other = base.copy()
+        for at in rng.choice(200, rng.integers(1, 9), replace=False):
+            other[at] = f"new{i}"
+        sets = [{tuple(w[k : k + 5]) for k in range(196)} for w in (base, other)]
+        docs += [(i, " ".join(base)), (1000 + i, " ".join(other))]
+        want |= {i} | ({1000 + i} if len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1]) else set())
+    kept = {r["doc_id"] for r in without_similar(cases.plain(spark, docs)).collect()}
+    assert 60 < len(want) < 120 and len(kept ^ want) <= 2

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import components, settled, text_key, without
+from veilsift.llm.common import components, few, settled, text_key, without
 
 CHUNK = 16_384
 SLICE = 65_536
@@ -112,11 +112,7 @@ def linked(marks: np.ndarray, residents: int, radius: int) -> np.ndarray:
     label, n = np.arange(len(marks)), len(marks)
     step = max(1, 2_000_000 // max(1, n))
     for lo in range(0, residents, step):
-        block = marks[lo : lo + step]
-        apart = np.bitwise_count(block[:, None, 0] ^ marks[None, lo:, 0]).astype(np.uint16)
-        for w in range(1, marks.shape[1]):
-            apart += np.bitwise_count(block[:, None, w] ^ marks[None, lo:, w])
-        near = apart <= radius
+        near = distances(marks[lo : lo + step], marks[lo:]) <= radius
         for i in np.flatnonzero(near.sum(axis=1) > 1):
             met = np.unique(label[lo + np.flatnonzero(near[i])])
             if len(met) > 1:
@@ -124,10 +120,65 @@ def linked(marks: np.ndarray, residents: int, radius: int) -> np.ndarray:
     return label
 
 
-def stars(batches: Iterator[pa.RecordBatch], radius: int, words: tuple[str, ...], node: str) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) of a spanning star for each group within a tile; rows come sorted by tile and part.
-
-    ``words``: the columns of a fingerprint's 64-bit words; ``node``: the column of the names to put into edges.
+def shortest_forest(edges: np.ndarray, n: int) -> np.ndarray:
+    """Which of the ``edges`` (a, b, length, ...) make a minimum spanning forest over ``n`` nodes; Boruvka's rounds."""
+    edges = edges[:, :3].astype(np.int64)
+    rank = np.argsort(np.lexsort((np.arange(len(edges)), edges[:, 2])))  # ties are settled, so no circle can close
+    taken, label = np.zeros(len(edges), bool), np.arange(n)
+    while True:
+        a, b = label[edges[:, 0]], label[edges[:, 1]]
+        left = np.flatnonzero(a != b)
+        if not len(left):
+            return taken
+        best = np.full(n, len(edges), np.int64)
+        np.minimum.at(best, a[left], rank[left])
+        np.minimum.at(best, b[left], rank[left])
+        picked = left[(best[a[left]] == rank[left]) | (best[b[left]] == rank[left])]
+        taken[picked] = True
+        while True:  # the smallest label runs along the picked edges
+            x, y = label[edges[picked, 0]], label[edges[picked, 1]]
+            low = np.minimum(x, y)
+            if (x == y).all():
+                break
+            to = np.arange(n)
+            np.minimum.at(to, x, low)
+            np.minimum.at(to, y, low)
+            label = to[label]
+
+
+def closest(marks: np.ndarray, residents: int, radius: int, loose: int, label: np.ndarray) -> np.ndarray:
+    """Pairs beyond ``radius`` but within ``loose`` that may connect the groups of ``label``: two minimum spanning forests
+    over the groups without a common edge, so never more than twice the rows, however many pairs there are."""
+    kinds = [np.zeros((0, 5), np.int64)] * 2
+    n = len(marks)
+    step = max(1, 1_000_000 // max(1, n))
+    for lo in range(0, residents, step):
+        apart = distances(marks[lo : lo + step], marks[lo:])
+        i, j = np.nonzero((apart > radius) & (apart <= loose))
+        d = apart[i, j].astype(np.int64)
+        i, j = i + lo, j + lo
+        rows = np.stack([label[i], label[j], d, i, j], axis=1)
+        rows = rows[(rows[:, 0] != rows[:, 1]) & (i < j)]
+        for k in range(2):
+            rows = np.concatenate([kinds[k], rows])
+            taken = shortest_forest(rows, n)
+            kinds[k], rows = rows[taken], rows[~taken]
+    return np.concatenate(kinds)[:, 3:]
+
+
+def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Differing bits of all rows of two tiles, by exclusive-or and bit counts of their words."""
+    apart = np.bitwise_count(left[:, None, 0] ^ right[None, :, 0]).astype(np.uint16)
+    for w in range(1, left.shape[1]):
+        apart += np.bitwise_count(left[:, None, w] ^ right[None, :, w])
+    return apart
+
+
+def stars(batches: Iterator[pa.RecordBatch], radius: int, words: tuple[str, ...], node: str, loose: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b, sure) of a spanning star for each group within a tile; rows come sorted by tile and part.
+
+    ``words``: the columns of a fingerprint's 64-bit words; ``node``: the column of the names to put into edges;
+    ``loose``: a wider radius within which groups of a tile get an edge that isn't sure.
     """
     left: list[pa.Table] = []
 
@@ -142,7 +193,11 @@ def stars(batches: Iterator[pa.RecordBatch], radius: int, words: tuple[str, ...]
             label = linked(marks[order], int(home[lo:hi].sum()), radius)
             tied = np.flatnonzero(label != np.arange(hi - lo))
             if len(tied):
-                yield pa.RecordBatch.from_arrays([pa.array(names[order[tied]]), pa.array(names[order[label[tied]]])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[order[tied]]), pa.array(names[order[label[tied]]]), pa.array(np.ones(len(tied), bool))], ["a", "b", "sure"])
+            if loose is not None:
+                pairs = closest(marks[order], int(home[lo:hi].sum()), radius, loose, label)
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([*(pa.array(names[order[pairs[:, k]]]) for k in (0, 1)), pa.array(np.zeros(len(pairs), bool))], ["a", "b", "sure"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -159,8 +214,8 @@ def stars(batches: Iterator[pa.RecordBatch], radius: int, words: tuple[str, ...]
         yield from solve(pa.concat_tables(left))
 
 
-def compared(placed: DataFrame, radius: int, words: tuple[str, ...], node: str) -> DataFrame:
-    """Edges that connect the rows of ``placed`` (tile, resident, ``node``, ``words``) that share a tile and lie within ``radius``."""
+def compared(placed: DataFrame, radius: int, words: tuple[str, ...], node: str, loose: int | None = None) -> DataFrame:
+    """Edges (a, b, sure) that connect the rows of ``placed`` (tile, resident, ``node``, ``words``) that share a tile and lie within ``radius``."""
     heavy = placed.where("resident").groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("tile", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
     if heavy.isEmpty():
         split = placed.withColumn("part", F.lit(0))
@@ -169,7 +224,7 @@ def compared(placed: DataFrame, radius: int, words: tuple[str, ...], node: str)
         split = placed.join(heavy, "tile", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
         split = split.withColumn("resident", F.col("resident") & (F.col("part") == own)).drop("parts")
     dealt = split.repartition("tile", "part").sortWithinPartitions("tile", "part")
-    return dealt.mapInArrow(lambda batches: stars(batches, radius, words, node), "a bigint, b bigint")
+    return dealt.mapInArrow(lambda batches: stars(batches, radius, words, node, loose), "a bigint, b bigint, sure boolean")
 
 
 def near_edges(marks: DataFrame, radius: int = 2) -> DataFrame:
@@ -200,9 +255,44 @@ _STRIDES = (np.random.default_rng(20).integers(1, 1 << 63, WIDE_WORDS + BANDS *
 WIDE = ("m0", "m1", "m2", "m3")
 
 
-def radius_for(similarity: float, bits: int = 64 * WIDE_WORDS) -> int:
-    """Bits in which fingerprints of two equally large sets of that Jaccard similarity differ on average."""
-    return round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def radii_for(similarity: float, bits: int = 64 * WIDE_WORDS) -> tuple[int, int]:
+    """Differing bits up to which two sets surely have that Jaccard similarity, and beyond which they surely haven't: the
+    mean for equally large sets less 2.2 and plus 2.5 standard deviations."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    mean, spread = bits * share, np.sqrt(bits * share * (1 - share))
+    return int(mean - 2.2 * spread), int(np.ceil(mean + 2.5 * spread))
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key and the set of five-word shingles' hashes of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                some = batch.slice(lo, 500)
+                sets = [np.unique(shingle_hashes(words_of(t.as_py()), WIDE_SHINGLE)).view(np.int64) for t in some.column(2).cast(pa.binary())]
+                ends = np.cumsum([0, *map(len, sets)])
+                held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([*some.columns[:2], held], ["doc_id", "text_key", "shingles"])
+
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id bigint, text_key bigint, shingles array<bigint>")
+
+
+def confirmed(docs: DataFrame, named: DataFrame, doubtful: DataFrame, similarity: float) -> DataFrame:
+    """Of the ``doubtful`` edges (a, b) those whose documents' shingle sets have the similarity, counted exactly.
+
+    Sets are made anew for the documents of these edges alone. ``named``: node, doc_id and text_key of all documents.
+    """
+    nodes = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = settled(named.join(nodes, "node", "left_semi"), "doubtful")
+    keys = few(ends.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), "text")
+    rows = rows.join(keys, rows["doc_id"].eqNullSafe(keys["__id"]) & (rows["text_key"] == keys["__key"]), "left_semi")
+    sets = shingle_sets(rows).dropDuplicates(["doc_id", "text_key"])
+    held = settled(ends.join(sets.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"}), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))).select("node", "shingles"), "sets")
+    both = doubtful.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def wide_marks(docs: DataFrame) -> DataFrame:
@@ -231,14 +321,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def surplus(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id and text_key of the documents that are similar to one with a smaller doc_id: sets of five-word shingles with a
-    Jaccard similarity of ``similarity`` or more, as the fingerprints tell.
+    Jaccard similarity of ``similarity`` or more.
 
     Documents meet in tiles of those that share the least hashes of a band, and are compared there as elsewhere in this
-    module; all connected ones are a group. A null doc_id comes last; rows that repeat the one that stays stay with it.
+    module. Fingerprints far apart or close settle a pair; between the groups that close ones make in a tile, two spanning
+    forests of the shortest pairs have their sets counted. All connected documents are a group. A null doc_id comes last; rows that repeat the one that
+    stays stay with it.
     """
     marks = settled(wide_marks(docs).withColumn("node", F.monotonically_increasing_id()), "wide")
     placed = marks.select(F.posexplode("bands").alias("band", "key"), "node", *WIDE).select(F.xxhash64("band", "key").alias("tile"), F.lit(True).alias("resident"), "node", *WIDE)
-    roots = components(compared(placed, radius_for(similarity), WIDE, "node"))
+    tight, loose = radii_for(similarity)
+    edges = settled(compared(placed, tight, WIDE, "node", loose), "edges")
+    doubtful = edges.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    close = confirmed(docs, marks.select("node", "doc_id", "text_key"), doubtful, similarity)
+    roots = components(edges.where("sure").select("a", "b").unionByName(close))
     named = settled(marks.select("node", "doc_id", "text_key").join(roots, "node"), "groups")
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
     others = named.join(first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))))
