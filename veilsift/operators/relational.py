@@ -167,3 +167,17 @@ def by_prefix(secrets: DataFrame, prefix: str) -> DataFrame:
 def new_secrets(now: DataFrame, before: DataFrame) -> DataFrame:
     """Fingerprints that weren't there before."""
     return now.join(before.select("fingerprint").distinct(), "fingerprint", "left_anti")
+
+
+def overview(findings: DataFrame, dismissed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Copies by kind, by project (the ten with most) and by program, without dismissed fingerprints."""
+    return {
+        "kind": count_by(findings, "kind", dismissed),
+        "project": count_by(findings, project_of(F.col("project"), F.col("path")), dismissed, 10),
+        "app": count_by(findings, app_of(F.col("adapter"), F.col("path")), dismissed),
+    }
+
+
+def gap_groups(gaps: DataFrame, most: int = 50) -> DataFrame:
+    """Gaps by label in its order, with at most ``most`` paths each."""
+    return gap_counts(gaps, most).orderBy("reason")

@@ -7,10 +7,12 @@ Micro-batches run one at a time and gather what changes meanwhile.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from veilsift import model
 from veilsift.engine import Engine
@@ -23,12 +25,36 @@ SECONDS_BETWEEN = 3
 WHOLE_EVERY = 15 * 60
 
 
+class Progress(StreamingQueryListener):
+    """Hands the progress of streaming queries on, at most once in ``LEAST_SECONDS``: batch, rows and seconds."""
+
+    LEAST_SECONDS = 0.7
+
+    def __init__(self, tell: Callable[[int, int, float], None]) -> None:
+        self.tell, self.last = tell, float("-inf")
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        now = time.monotonic()
+        if now - self.last >= self.LEAST_SECONDS:
+            self.last = now
+            self.tell(event.progress.batchId, event.progress.numInputRows, event.progress.batchDuration / 1000)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 class Monitor:
     """Keeps the state of one home folder. ``on_new``: called with a table of secrets seen for the first time."""
 
     def __init__(self, engine: Engine, state: State, tiers: tuple[str, ...] = SCANNED_BY_DEFAULT, excluded: DataFrame | None = None, on_new: Callable[[DataFrame], None] | None = None) -> None:
         self.engine, self.state, self.tiers, self.excluded, self.on_new = engine, state, tiers, excluded, on_new
-        self.spark = engine.spark
+        self.spark, self.whole_at = engine.spark, time.monotonic()
         state.opened_with(engine.key)
 
     def reconcile(self) -> int:
@@ -134,5 +160,8 @@ class Monitor:
             self.absorb(relational.latest(listed, ["path"], ["modified", "size"]))
             self.merge_secrets()
             batch.unpersist()
+            if time.monotonic() - self.whole_at >= WHOLE_EVERY:  # what a change feed may have missed
+                self.whole_at = time.monotonic()
+                self.reconcile()
 
         return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
