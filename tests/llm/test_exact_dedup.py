@@ -54,6 +54,10 @@ def test_compaction_merges_new_runs_with_the_former_level(spark):
     index.flush(entries([1, 30]))
     level = {r["digest"]: (r["order"]["doc_id"], r["members"]) for r in index.compact().collect()}
     assert level == {"d0": (3, 3), "d1": (1, 3), "d2": (2, 3)}
+    index.flush(entries([0]))
+    found = index.lookup("d0", "none")
+    assert [(r["digest"], r["order"]["doc_id"], r["members"]) for r in found.collect()] == [("d0", 0, 4)]
+    assert "PushedFilters: [In(digest" in found._jdf.queryExecution().toString()
 
 
 def test_main_path_has_no_python(spark):

@@ -51,6 +51,16 @@ class MergeIndex:
         self.level += 1
         return self.read(f"level{self.level}")
 
+    def lookup(self, *digests: str) -> DataFrame:
+        """Entries of a few digests in the level and the runs since. The comparison reaches the files, whose ranges and
+        Bloom filters tell which row groups need no reading."""
+        names = [f"level{self.level}"] if self.level else []
+        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/runs{self.level}")):
+            names.append(f"runs{self.level}")
+        found = self.read(*names).where(F.col("digest").isin(*digests))
+        return found.groupBy("digest").agg(F.min("order").alias("order"), F.sum("members").alias("members"))
+
 
 def exact_duplicates(docs: DataFrame, digest=sha256_of) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. ``digest``: Column -> Column, of the squeezed text."""
