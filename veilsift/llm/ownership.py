@@ -101,7 +101,7 @@ def secret_scan(docs: DataFrame, repository: Column | None = None, owner: Column
     found = candidates(docs, repository, owner)
     verdicts = ownership(found)
     # Rows with candidates are few; each distinct one is judged once and looked up by its key.
-    keyed = found.withColumn("row_key", F.when(F.size("spans") > 0, F.xxhash64("doc_id", F.col("spans").cast("string"))))
+    keyed = found.withColumn("row_key", F.when(F.size("spans") > 0, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(F.col("spans").cast("string")).cast("string"))))
     each = keyed.where("row_key is not null").dropDuplicates(["row_key"]).select("row_key", F.explode("spans").alias("s")).select("row_key", "s.*")
     judged = each.join(verdicts, "value").where((F.col("kind") < 3) | (F.col("random") & (F.col("owners") == 1)))
     live = F.col("random") & ~F.col("copied")
