@@ -348,7 +348,7 @@ def json_walker_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def catalogue_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of the whole rule catalogue in documents; only rows with a rule's literal go to Python."""
+    """Findings of the whole rule catalogue in documents: literals by one automaton, then patterns in windows around them."""
     found = detect.scan_table(table(spark, sf_dir, "documents"), "doc_id", "text", KEY, source="documents")
     return found.select("doc_id", "rule", "kind", "confidence", "masked", "fingerprint", "start", "end", "feasibility")
 

@@ -17,7 +17,6 @@ try:
 except ImportError:  # the search for literals is then done one by one
     ahocorasick = None
 
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 LEVELS = {"low": 0, "medium": 1, "high": 2}
 
@@ -40,7 +39,7 @@ class Match:
 
 def lower_ascii(text: str) -> str:
     """A to Z in lower case; every other character keeps its place."""
-    return text.lower() if text.isascii() else text.translate(_UPPER)
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def entropy(value: str) -> float:
