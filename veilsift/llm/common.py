@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids or digests of at most this many rows are broadcast (16 bytes a row and more in memory); beyond it a shuffle join does it.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -80,7 +80,7 @@ def decided(docs: DataFrame, digest=sha256_of) -> DataFrame:
     index = MergeIndex(spark)
     index.flush(entries(keyed))
     level = index.compact()
-    hits = few(level.where("members > 1").select(F.col("digest").alias("hit")))
+    hits = few(level.where("members > 1").select(F.col("digest").alias("hit")), 50_000)  # some 400 bytes each in memory
     # Equal bytes: the least and the greatest text of a digest are the same. Partial aggregation sends each task's texts once.
     unequal = settled(
         keyed.join(hits, F.col("digest") == F.col("hit"), "left_semi").groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).where("lo <> hi").select("digest"),
