@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilsift.llm.common import mapped
+
 # --- escaping ---------------------------------------------------------------
 
 _RISKY = re.compile(r"[|<\[]")
@@ -481,7 +483,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
 
     rows = conversations.select(F.col("conv_id").cast("bigint"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "turn")
     together = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return together.select("conv_id", "role", "text").mapInArrow(run, FORMATTED)
+    return together.select("conv_id", "role", "text").transform(mapped, run, FORMATTED)
 
 
 def turns_of(formatted: str) -> list[tuple[str, str]]:
@@ -511,7 +513,7 @@ def digests(formatted: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in DIGESTS.split(", ")])
 
-    return formatted.mapInArrow(run, DIGESTS)
+    return formatted.transform(mapped, run, DIGESTS)
 
 
 DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"

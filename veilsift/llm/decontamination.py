@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import few, settled, text_key, without
+from veilsift.llm.common import few, mapped, settled, text_key, without
 
 SEED_TOKENS, COVERAGE, BLOCK_BYTES = 4, 0.6, 8_000_000
 _PARTED = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
@@ -177,7 +177,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> Dat
                     types = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits, strict=True), types, strict=True)], [x.split()[0] for x in HITS.split(", ")])
 
-        part = settled(rows.mapInArrow(run, HITS), "leaks")
+        part = settled(rows.transform(mapped, run, HITS), "leaks")
         found = part if found is None else found.unionByName(part)
     return found
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import settled
+from veilsift.llm.common import mapped, settled
 
 KINDS = ("assign", "access", "hex", "owned")
 MOST_OWNERS, LEAST_ENTROPY = 2, 3.0
@@ -79,7 +79,7 @@ def candidates(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, _TYPE)], ["doc_id", "repository", "owner", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(repository.cast("string"), F.lit("\x00")).alias("repository"), F.coalesce(owner.cast("string"), F.lit("\x00")).alias("owner"), "text")
-    return settled(rows.mapInArrow(run, f"doc_id bigint, repository string, owner string, spans array<{SPAN}>"), "candidates")
+    return settled(rows.transform(mapped, run, f"doc_id bigint, repository string, owner string, spans array<{SPAN}>"), "candidates")
 
 
 def ownership(found: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilsift.llm.common import mapped
 from veilsift.llm.token_files import slices
 
 SPACE = "▁"
@@ -240,7 +241,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), ids], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, ENCODED)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").transform(mapped, run, ENCODED)
 
 
 SUMMARY = "doc_id bigint, n_pieces bigint, ids_crc32 bigint, decoded_crc32 bigint, decoded_chars bigint, round_trip boolean"
@@ -260,5 +261,5 @@ def summaries(docs: DataFrame, model: str) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in SUMMARY.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SUMMARY)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").transform(mapped, run, SUMMARY)
 

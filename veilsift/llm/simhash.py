@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import components, few, settled, text_key, without
+from veilsift.llm.common import components, few, mapped, settled, text_key, without
 
 CHUNK = 16_384
 SLICE = 65_536
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             marks = np.array([majority_bits(shingle_hashes(words_of(t.as_py()), shingle)) for t in batch.column(1).cast(pa.binary())], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], ["doc_id", "mark"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, mark bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").transform(mapped, run, "doc_id bigint, mark bigint")
 
 
 #: Blocks of a tile's key, and how many times fewer pairs than all they leave for random fingerprints at radius 2.
@@ -101,7 +101,7 @@ def tiles(marks: DataFrame, radius: int, blocks: int) -> DataFrame:
                     if len(key):
                         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[fits].view(np.int64)), pa.array(np.full(len(key), k == 0))], ["tile", "mark", "resident"])
 
-    return marks.mapInArrow(run, "tile bigint, mark bigint, resident boolean")
+    return marks.transform(mapped, run, "tile bigint, mark bigint, resident boolean")
 
 
 def linked(marks: np.ndarray, residents: int, radius: int) -> np.ndarray:
@@ -224,7 +224,7 @@ def compared(placed: DataFrame, radius: int, words: tuple[str, ...], node: str,
         split = placed.join(heavy, "tile", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
         split = split.withColumn("resident", F.col("resident") & (F.col("part") == own)).drop("parts")
     dealt = split.repartition("tile", "part").sortWithinPartitions("tile", "part")
-    return dealt.mapInArrow(lambda batches: stars(batches, radius, words, node, loose), "a bigint, b bigint, sure boolean")
+    return dealt.transform(mapped, lambda batches: stars(batches, radius, words, node, loose), "a bigint, b bigint, sure boolean")
 
 
 def near_edges(marks: DataFrame, radius: int = 2) -> DataFrame:
@@ -275,7 +275,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([*some.columns[:2], held], ["doc_id", "text_key", "shingles"])
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id bigint, text_key bigint, shingles array<bigint>")
+    return docs.select("doc_id", "text_key", "text").transform(mapped, run, "doc_id bigint, text_key bigint, shingles array<bigint>")
 
 
 def confirmed(docs: DataFrame, named: DataFrame, doubtful: DataFrame, similarity: float) -> DataFrame:
@@ -309,7 +309,7 @@ def wide_marks(docs: DataFrame) -> DataFrame:
             columns = np.array(marks, np.uint64).reshape(-1, WIDE_WORDS).view(np.int64).T
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", *WIDE, "bands"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), text_key().alias("text_key"), "text").mapInArrow(run, "doc_id bigint, text_key bigint, m0 bigint, m1 bigint, m2 bigint, m3 bigint, bands array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), text_key().alias("text_key"), "text").transform(mapped, run, "doc_id bigint, text_key bigint, m0 bigint, m1 bigint, m2 bigint, m3 bigint, bands array<bigint>")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

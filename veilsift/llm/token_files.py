@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from veilsift.llm.common import settled
+from veilsift.llm.common import mapped, settled
 from veilsift.llm.storage import new_folder, opened, own_name
 
 LENGTH, GROUP, REMEMBERED, SLICE = 2048, 64, 600_000, 6_000_000
@@ -191,7 +191,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, length:
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
     parts = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return settled(ranged.mapInArrow(run, "part int, path string, index string, documents bigint, ids bigint"), "token-list")
+    return settled(ranged.transform(mapped, run, "part int, path string, index string, documents bigint, ids bigint"), "token-list")
 
 
 def listed_schema() -> pa.Schema:
@@ -249,4 +249,4 @@ def read_token_files(listed: DataFrame, digest: Callable[[np.ndarray], int] | No
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = spark.createDataFrame(starts, "path string, index string, before bigint").repartition(len(starts))
-    return files.mapInArrow(run, schema)
+    return files.transform(mapped, run, schema)

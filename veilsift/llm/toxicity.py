@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import settled, text_key, without
+from veilsift.llm.common import mapped, settled, text_key, without
 
 ORDERS, BITS, LEAST_RATIO, LEAST_DOCS = (4, 5, 6, 7, 8), 22, 1.5, 5
 SAMPLE, SAMPLE_BYTES = 4000, 12_000_000
@@ -150,7 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sa
             some = at[lo : lo + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[1, some].astype(np.int64)), pa.array(held[0, some].astype(np.int64))], ["bucket", "yes", "no"])
 
-    counted = fitted.select("toxic", "text").mapInArrow(count, "bucket int, yes bigint, no bigint").groupBy("bucket").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    counted = fitted.select("toxic", "text").transform(mapped, count, "bucket int, yes bigint, no bigint").groupBy("bucket").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     ratio = F.log((F.col("yes") + 1) / (sizes[1] + 2)) - F.log((F.col("no") + 1) / (sizes[0] + 2))
     told = counted.where((F.col("yes") + F.col("no") >= LEAST_DOCS) & (F.abs(ratio) >= LEAST_RATIO)).toArrow().sort_by("bucket")  # of 2^BITS buckets, those that tell
     buckets = told.column("bucket").to_numpy().astype(np.int64)
@@ -165,7 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sa
             found = [place[present(t.as_py(), chosen)].astype("<i4").tobytes() for t in batch.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "toxic", "found"])
 
-    got = fitted.mapInArrow(pick, "doc_id bigint, toxic int, found binary").toArrow().sort_by("doc_id")  # at most ``sample`` rows
+    got = fitted.transform(mapped, pick, "doc_id bigint, toxic int, found binary").toArrow().sort_by("doc_id")  # at most ``sample`` rows
     kept = [np.frombuffer(x.as_py(), "<i4") for x in got.column("found")]
     toxic = got.column("toxic").to_numpy().astype(float)
     return train(kept, toxic, buckets, log_ratios(told.column("yes").to_numpy(), told.column("no").to_numpy(), sizes[1], sizes[0]), share)
@@ -185,7 +185,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             got = [score_of(present(t.as_py(), chosen), dense, shared.value.intercept) for t in batch.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(got, pa.float64())], ["doc_id", "text_key", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), text_key().alias("text_key"), "text").mapInArrow(run, SCORED)
+    return docs.select(F.col("doc_id").cast("bigint"), text_key().alias("text_key"), "text").transform(mapped, run, SCORED)
 
 
 def every_fourth(doc_id: Column) -> Column:

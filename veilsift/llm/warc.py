@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import few, settled
+from veilsift.llm.common import few, mapped, settled
 from veilsift.llm.storage import new_folder, opened, own_name
 
 LEAST_PAYLOAD = 1000
@@ -108,7 +108,7 @@ def write_archives(pages: DataFrame, level: int = 6) -> DataFrame:
         if made:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made]), pa.array([x[1] for x in made], pa.int64())], ["path", "bytes"])
 
-    return settled(joined.mapInArrow(run, "path string, bytes bigint"), "archives")
+    return settled(joined.transform(mapped, run, "path string, bytes bigint"), "archives")
 
 
 class Inflated:
@@ -247,7 +247,7 @@ def read_archives(archives: DataFrame, size: int = SPLIT) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names)
 
-    return splits(archives.sparkSession, archives, size).mapInArrow(run, FOUND)
+    return splits(archives.sparkSession, archives, size).transform(mapped, run, FOUND)
 
 
 TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
