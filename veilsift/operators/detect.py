@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from veilsift import model
+from veilsift.functions.batches import bounded
 from veilsift.rules.catalogue import Rule
 from veilsift.rules.matcher import Match, scanner
 from veilsift.sources.extract import Gap, Region, items
@@ -103,7 +104,7 @@ def scan_artifacts(artifacts: DataFrame, key: bytes, rules: list[Rule] | None =
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     columns = ["adapter", "store", "path", "session", "project", "kind", *(c for c in ("start", "delta") if c in artifacts.columns)]
-    return artifacts.orderBy(F.col("size").desc(), "path").select(*columns).mapInArrow(run, schema)
+    return artifacts.orderBy(F.col("size").desc(), "path").select(*columns).transform(bounded, run, schema)
 
 
 def findings(scanned: DataFrame) -> DataFrame:
@@ -140,4 +141,4 @@ def scan_table(rows: DataFrame, id_column: str, text: Column | str, key: bytes,
         for a in anchors:
             hit = hit | low.contains(a)
         picked = picked.where(hit)
-    return picked.mapInArrow(run, schema)
+    return picked.transform(bounded, run, schema)
