@@ -31,7 +31,7 @@ from veilsift.llm.token_files import slices
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 UNKNOWN_PENALTY = 10.0
-REMEMBERED, CELLS = 400_000, 4_000_000
+REMEMBERED, CELLS = 250_000, 2_000_000
 _PRIME = np.uint64(0x100000001B3)
 _models: dict[str, Pieces] = {}
 
@@ -116,8 +116,7 @@ class Pieces:
         wanted = set().union(*cut)
         new = [w for w in wanted if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(wanted)
+            self.known = {w: self.known[w] for w in wanted if w in self.known}  # those in use stay
         self.known.update(zip(new, self.segmented(new), strict=True))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in cut]
