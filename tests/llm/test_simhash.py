@@ -133,3 +133,18 @@ def test_similarity_is_counted_exactly_near_the_threshold(spark):
         want |= {i} | ({1000 + i} if len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1]) else set())
     kept = {r["doc_id"] for r in without_similar(cases.plain(spark, docs)).collect()}
     assert 60 < len(want) < 120 and len(kept ^ want) <= 2
+
+
+def template_group(rng, many, pairs, passage=244, tail=40, common=13):
+    """Texts that share a passage, Jaccard 0.75 of their shingles; the last ``pairs`` share more with one of the first, 0.82."""
+    words = lambda k: [f"term{i}" for i in rng.integers(0, 1 << 40, k)]
+    start = words(passage)
+    tails = [words(tail) for _ in range(many - pairs)]
+    tails += [tails[i][:common] + words(tail - common) for i in range(pairs)]
+    return [(i, " ".join(start + t)) for i, t in enumerate(tails)]
+
+
+def test_texts_of_one_template_stay_unless_similar(spark):
+    docs = template_group(np.random.default_rng(31), 400, 50)
+    kept = {r["doc_id"] for r in without_similar(cases.plain(spark, docs)).collect()}
+    assert set(range(350)) <= kept

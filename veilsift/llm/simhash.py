@@ -146,26 +146,6 @@ def shortest_forest(edges: np.ndarray, n: int) -> np.ndarray:
             label = to[label]
 
 
-def closest(marks: np.ndarray, residents: int, radius: int, loose: int, label: np.ndarray) -> np.ndarray:
-    """Pairs beyond ``radius`` but within ``loose`` that may connect the groups of ``label``: two minimum spanning forests
-    over the groups without a common edge, so never more than twice the rows, however many pairs there are."""
-    kinds = [np.zeros((0, 5), np.int64)] * 2
-    n = len(marks)
-    step = max(1, 1_000_000 // max(1, n))
-    for lo in range(0, residents, step):
-        apart = distances(marks[lo : lo + step], marks[lo:])
-        i, j = np.nonzero((apart > radius) & (apart <= loose))
-        d = apart[i, j].astype(np.int64)
-        i, j = i + lo, j + lo
-        rows = np.stack([label[i], label[j], d, i, j], axis=1)
-        rows = rows[(rows[:, 0] != rows[:, 1]) & (i < j)]
-        for k in range(2):
-            rows = np.concatenate([kinds[k], rows])
-            taken = shortest_forest(rows, n)
-            kinds[k], rows = rows[taken], rows[~taken]
-    return np.concatenate(kinds)[:, 3:]
-
-
 def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Differing bits of all rows of two tiles, by exclusive-or and bit counts of their words."""
     apart = np.bitwise_count(left[:, None, 0] ^ right[None, :, 0]).astype(np.uint16)
@@ -174,30 +154,15 @@ def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return apart
 
 
-def stars(batches: Iterator[pa.RecordBatch], radius: int, words: tuple[str, ...], node: str, loose: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b, sure) of a spanning star for each group within a tile; rows come sorted by tile and part.
-
-    ``words``: the columns of a fingerprint's 64-bit words; ``node``: the column of the names to put into edges;
-    ``loose``: a wider radius within which groups of a tile get an edge that isn't sure.
-    """
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Tables of whole parts of tiles, and where each part starts and ends; rows come sorted by tile and part."""
     left: list[pa.Table] = []
 
-    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def ends_of(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
         keys = np.stack([table.column(c).to_numpy() for c in ("tile", "part")], axis=1)
-        marks = np.stack([table.column(c).to_numpy().view(np.uint64) for c in words], axis=1)
-        names, home = table.column(node).to_numpy(), table.column("resident").to_numpy(zero_copy_only=False).astype(bool)
         starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
         ends = np.r_[starts[1:], len(keys)]
-        for lo, hi in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-            order = lo + np.argsort(~home[lo:hi], kind="stable")
-            label = linked(marks[order], int(home[lo:hi].sum()), radius)
-            tied = np.flatnonzero(label != np.arange(hi - lo))
-            if len(tied):
-                yield pa.RecordBatch.from_arrays([pa.array(names[order[tied]]), pa.array(names[order[label[tied]]]), pa.array(np.ones(len(tied), bool))], ["a", "b", "sure"])
-            if loose is not None:
-                pairs = closest(marks[order], int(home[lo:hi].sum()), radius, loose, label)
-                if len(pairs):
-                    yield pa.RecordBatch.from_arrays([*(pa.array(names[order[pairs[:, k]]]) for k in (0, 1)), pa.array(np.zeros(len(pairs), bool))], ["a", "b", "sure"])
+        return table, starts[ends - starts > 1], ends[ends - starts > 1]
 
     for batch in batches:
         if not batch.num_rows:
@@ -207,15 +172,36 @@ def stars(batches: Iterator[pa.RecordBatch], radius: int, words: tuple[str, ...]
         cut = int(np.argmax(same))
         if cut or (left and tuple(left[0].column(c)[0].as_py() for c in ("tile", "part")) != last):
             left.append(pa.Table.from_batches([batch.slice(0, cut)]))
-            yield from solve(pa.concat_tables(left))
+            yield ends_of(pa.concat_tables(left))
             left = []
         left.append(pa.Table.from_batches([batch.slice(cut)]))
     if left:
-        yield from solve(pa.concat_tables(left))
+        yield ends_of(pa.concat_tables(left))
+
+
+def words_in(table: pa.Table, words: tuple[str, ...]) -> np.ndarray:
+    """Fingerprints as rows of 64-bit words."""
+    return np.stack([table.column(c).to_numpy().view(np.uint64) for c in words], axis=1)
+
 
+def stars(batches: Iterator[pa.RecordBatch], radius: int, words: tuple[str, ...], node: str) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of a spanning star for each group within a tile; rows come sorted by tile and part.
 
-def compared(placed: DataFrame, radius: int, words: tuple[str, ...], node: str, loose: int | None = None) -> DataFrame:
-    """Edges (a, b, sure) that connect the rows of ``placed`` (tile, resident, ``node``, ``words``) that share a tile and lie within ``radius``."""
+    ``words``: the columns of a fingerprint's 64-bit words; ``node``: the column of the names to put into edges.
+    """
+    for table, starts, ends in grouped(batches):
+        marks = words_in(table, words)
+        names, home = table.column(node).to_numpy(), table.column("resident").to_numpy(zero_copy_only=False).astype(bool)
+        for lo, hi in zip(starts, ends, strict=True):
+            order = lo + np.argsort(~home[lo:hi], kind="stable")
+            label = linked(marks[order], int(home[lo:hi].sum()), radius)
+            tied = np.flatnonzero(label != np.arange(hi - lo))
+            if len(tied):
+                yield pa.RecordBatch.from_arrays([pa.array(names[order[tied]]), pa.array(names[order[label[tied]]])], ["a", "b"])
+
+
+def dealt(placed: DataFrame, node: str) -> DataFrame:
+    """``placed`` (tile, resident, ``node``, ...) with ``part``, in the order that ``grouped`` takes; heavy tiles in many parts."""
     heavy = placed.where("resident").groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("tile", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
     if heavy.isEmpty():
         split = placed.withColumn("part", F.lit(0))
@@ -223,8 +209,12 @@ def compared(placed: DataFrame, radius: int, words: tuple[str, ...], node: str,
         own = F.pmod(F.xxhash64(node), F.coalesce("parts", F.lit(1)))
         split = placed.join(heavy, "tile", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
         split = split.withColumn("resident", F.col("resident") & (F.col("part") == own)).drop("parts")
-    dealt = split.repartition("tile", "part").sortWithinPartitions("tile", "part")
-    return dealt.transform(mapped, lambda batches: stars(batches, radius, words, node, loose), "a bigint, b bigint, sure boolean")
+    return split.repartition("tile", "part").sortWithinPartitions("tile", "part")
+
+
+def compared(placed: DataFrame, radius: int, words: tuple[str, ...], node: str) -> DataFrame:
+    """Edges (a, b) that connect the rows of ``placed`` (tile, resident, ``node``, ``words``) that share a tile and lie within ``radius``."""
+    return dealt(placed, node).transform(mapped, lambda batches: stars(batches, radius, words, node), "a bigint, b bigint")
 
 
 def near_edges(marks: DataFrame, radius: int = 2) -> DataFrame:
@@ -255,12 +245,15 @@ _STRIDES = (np.random.default_rng(20).integers(1, 1 << 63, WIDE_WORDS + BANDS *
 WIDE = ("m0", "m1", "m2", "m3")
 
 
-def radii_for(similarity: float, bits: int = 64 * WIDE_WORDS) -> tuple[int, int]:
-    """Differing bits up to which two sets surely have that Jaccard similarity, and beyond which they surely haven't: the
-    mean for equally large sets less 2.2 and plus 2.5 standard deviations."""
+#: Most shingles of the rows that a block of a tile holds; a task has two blocks at once.
+BLOCK = 1 << 20
+
+
+def loose_for(similarity: float, bits: int = 64 * WIDE_WORDS) -> int:
+    """Differing bits beyond which two sets aren't counted: the mean for equally large sets of that Jaccard similarity
+    plus 2.5 standard deviations."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    mean, spread = bits * share, np.sqrt(bits * share * (1 - share))
-    return int(mean - 2.2 * spread), int(np.ceil(mean + 2.5 * spread))
+    return int(np.ceil(bits * share + 2.5 * np.sqrt(bits * share * (1 - share))))
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -278,38 +271,116 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text_key", "text").transform(mapped, run, "doc_id bigint, text_key bigint, shingles array<bigint>")
 
 
-def confirmed(docs: DataFrame, named: DataFrame, doubtful: DataFrame, similarity: float) -> DataFrame:
-    """Of the ``doubtful`` edges (a, b) those whose documents' shingle sets have the similarity, counted exactly.
-
-    Sets are made anew for the documents of these edges alone. ``named``: node, doc_id and text_key of all documents.
-    """
-    nodes = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ends = settled(named.join(nodes, "node", "left_semi"), "doubtful")
-    keys = few(ends.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
+def sets_for(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``marks`` with the set of shingles of each row, made anew from the texts of these rows alone."""
+    keys = few(marks.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), "text")
     rows = rows.join(keys, rows["doc_id"].eqNullSafe(keys["__id"]) & (rows["text_key"] == keys["__key"]), "left_semi")
-    sets = shingle_sets(rows).dropDuplicates(["doc_id", "text_key"])
-    held = settled(ends.join(sets.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"}), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))).select("node", "shingles"), "sets")
-    both = doubtful.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    sets = shingle_sets(rows).dropDuplicates(["doc_id", "text_key"]).withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
+    return marks.join(sets, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))).drop("__id", "__key")
+
+
+def near_pairs(marks: np.ndarray, sizes: np.ndarray, bands: np.ndarray, band: int, residents: int, similarity: float, loose: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j of one of the first ``residents`` rows and any row, in blocks and sorted by i: those whose sets may have
+    the similarity and that share no band before ``band``, so that a pair is met in one tile only."""
+    n = len(marks)
+    step = max(1, 1_000_000 // max(1, n))
+    for lo in range(0, residents, step):
+        i, j = np.nonzero(distances(marks[lo : min(lo + step, residents)], marks[lo:]) <= loose)
+        i, j = i[i < j] + lo, j[i < j] + lo
+        may = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j])
+        for b in range(band):
+            may &= bands[i, b] != bands[j, b]
+        if may.any():
+            yield i[may], j[may]
+
+
+def bands_in(table: pa.Table) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy() for c in table.column("bands").chunks]).reshape(-1, BANDS)
+
+
+def meetings(batches: Iterator[pa.RecordBatch], similarity: float, loose: int) -> Iterator[pa.RecordBatch]:
+    """tile, band, node of the rows that have a pair to be counted in the tile; rows come sorted by tile and part."""
+    for table, starts, ends in grouped(batches):
+        marks, bands, sizes = words_in(table, WIDE), bands_in(table), table.column("size").to_numpy()
+        tile, band, names = (table.column(c).to_numpy() for c in ("tile", "band", "node"))
+        home, met = table.column("resident").to_numpy(zero_copy_only=False).astype(bool), np.zeros(table.num_rows, bool)
+        for lo, hi in zip(starts, ends, strict=True):
+            order = lo + np.argsort(~home[lo:hi], kind="stable")
+            for i, j in near_pairs(marks[order], sizes[order], bands[order], int(band[lo]), int(home[lo:hi].sum()), similarity, loose):
+                met[order[i]] = met[order[j]] = True
+        if met.any():
+            yield pa.RecordBatch.from_arrays([pa.array(tile[met]), pa.array(band[met], pa.int32()), pa.array(names[met])], ["tile", "band", "node"])
+
+
+def counted(batches: Iterator[pa.RecordBatch], similarity: float, loose: int) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of pairs whose sets of shingles have the similarity, counted; rows come sorted by tile and part.
+
+    Every pair of a part is counted unless edges counted before connect it; a part that isn't ``alone`` has pairs of its
+    two blocks only.
+    """
+    for table, starts, ends in grouped(batches):
+        marks, bands, band, own, names = words_in(table, WIDE), bands_in(table), *(table.column(c).to_numpy() for c in ("band", "own", "node"))
+        alone, shingles = table.column("alone").to_numpy(zero_copy_only=False), table.column("shingles")
+        for lo, hi in zip(starts, ends, strict=True):
+            held = shingles.slice(lo, hi - lo)
+            sizes = np.concatenate([c.value_lengths().to_numpy() for c in held.chunks]).astype(np.int64)
+            ids = np.unique(np.concatenate([c.flatten().to_numpy() for c in held.chunks]), return_inverse=True)[1]
+            at, flags, label = np.r_[0, np.cumsum(sizes)], np.zeros(len(ids), bool), np.arange(hi - lo)
+            a, b = [], []
+            for left, right in near_pairs(marks[lo:hi], sizes, bands[lo:hi], int(band[lo]), hi - lo, similarity, loose):
+                if not alone[lo]:
+                    across = own[lo + left] != own[lo + right]
+                    left, right = left[across], right[across]
+                cuts = np.flatnonzero(np.r_[True, left[1:] != left[:-1]]) if len(left) else []
+                for i, js in zip(left[cuts].tolist(), np.split(right, cuts[1:]), strict=True) if len(cuts) else ():
+                    js = js[label[js] != label[i]]
+                    if not len(js):
+                        continue
+                    mine = ids[at[i] : at[i + 1]]
+                    flags[mine] = True
+                    to = np.cumsum(sizes[js])
+                    places = np.arange(to[-1]) + np.repeat(at[js] - to + sizes[js], sizes[js])
+                    shared = np.diff(np.r_[0, np.cumsum(flags[ids[places]])][np.r_[0, to]])
+                    flags[mine] = False
+                    js = js[shared >= similarity * (sizes[i] + sizes[js] - shared)]
+                    if len(js):
+                        groups, first = np.unique(label[js], return_index=True)
+                        a += [names[lo + i]] * len(first)
+                        b += names[lo + js[first]].tolist()
+                        label[np.isin(label, groups)] = label[i]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def similar_edges(met: DataFrame, held: DataFrame, similarity: float, loose: int) -> DataFrame:
+    """Edges (a, b) between the rows that meet in a tile (``met``: tile, band, node), in blocks of bounded size that a task
+    takes by twos. ``held``: node, its size, fingerprint, bands and shingles."""
+    total = met.join(held.select("node", "size"), "node").groupBy("tile").agg(F.ceil(F.greatest(F.sum("size") / BLOCK, F.count(F.lit(1)) / CHUNK)).alias("parts"))
+    split = met.join(total.where("parts > 1"), "tile", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    split = split.withColumn("own", F.pmod(F.xxhash64("node"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    part = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
+    split = split.select("tile", part.alias("part"), "band", "node", "own", (F.col("own") == F.col("other")).alias("alone"))
+    rows = split.join(held.select("node", *WIDE, "bands", "shingles"), "node").repartition("tile", "part").sortWithinPartitions("tile", "part")
+    return rows.transform(mapped, lambda batches: counted(batches, similarity, loose), "a bigint, b bigint")
 
 
 def wide_marks(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, a 256-bit fingerprint (m0 to m3) of the set of five-word shingles, and its band keys."""
+    """doc_id, text_key, a 256-bit fingerprint (m0 to m3) of the set of five-word shingles, its size and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, bands = [], []
+            marks, sizes, bands = [], [], []
             for t in batch.column(2).cast(pa.binary()):
                 own = np.unique(shingle_hashes(words_of(t.as_py()), WIDE_SHINGLE))
+                sizes.append(len(own))
                 marks.append([majority_bits(mixed(own * x)) for x in _STRIDES[:WIDE_WORDS]])
                 least = [int(mixed(own * x).min()) if len(own) else 0 for x in _STRIDES[WIDE_WORDS:]]
                 bands.append([hash((i, *least[i * ROWS : (i + 1) * ROWS])) for i in range(BANDS)])
             columns = np.array(marks, np.uint64).reshape(-1, WIDE_WORDS).view(np.int64).T
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", *WIDE, "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", *WIDE, "size", "bands"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), text_key().alias("text_key"), "text").transform(mapped, run, "doc_id bigint, text_key bigint, m0 bigint, m1 bigint, m2 bigint, m3 bigint, bands array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), text_key().alias("text_key"), "text").transform(mapped, run, "doc_id bigint, text_key bigint, m0 bigint, m1 bigint, m2 bigint, m3 bigint, size bigint, bands array<bigint>")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -323,18 +394,18 @@ def surplus(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id and text_key of the documents that are similar to one with a smaller doc_id: sets of five-word shingles with a
     Jaccard similarity of ``similarity`` or more.
 
-    Documents meet in tiles of those that share the least hashes of a band, and are compared there as elsewhere in this
-    module. Fingerprints far apart or close settle a pair; between the groups that close ones make in a tile, two spanning
-    forests of the shortest pairs have their sets counted. All connected documents are a group. A null doc_id comes last; rows that repeat the one that
-    stays stay with it.
+    Documents meet in tiles of those that share the least hashes of a band. Fingerprints far apart settle a pair; the sets
+    of all other pairs are counted in the first tile where they meet, unless counted pairs of the tile connect them already.
+    So every document of a group has a partner of counted similarity. All connected documents are a group. A null doc_id
+    comes last; rows that repeat the one that stays stay with it.
     """
     marks = settled(wide_marks(docs).withColumn("node", F.monotonically_increasing_id()), "wide")
-    placed = marks.select(F.posexplode("bands").alias("band", "key"), "node", *WIDE).select(F.xxhash64("band", "key").alias("tile"), F.lit(True).alias("resident"), "node", *WIDE)
-    tight, loose = radii_for(similarity)
-    edges = settled(compared(placed, tight, WIDE, "node", loose), "edges")
-    doubtful = edges.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    close = confirmed(docs, marks.select("node", "doc_id", "text_key"), doubtful, similarity)
-    roots = components(edges.where("sure").select("a", "b").unionByName(close))
+    placed = marks.select(F.posexplode("bands").alias("band", "key"), "node", "size", *WIDE, "bands")
+    placed = placed.select(F.xxhash64("band", "key").alias("tile"), F.lit(True).alias("resident"), "band", "node", "size", *WIDE, "bands")
+    loose = loose_for(similarity)
+    met = settled(dealt(placed, "node").transform(mapped, lambda batches: meetings(batches, similarity, loose), "tile bigint, band int, node bigint").distinct(), "met")
+    ends = settled(marks.join(met.select("node").distinct(), "node", "left_semi"), "ends")
+    roots = components(settled(similar_edges(met, settled(sets_for(docs, ends), "sets"), similarity, loose), "similar-edges"))
     named = settled(marks.select("node", "doc_id", "text_key").join(roots, "node"), "groups")
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
     others = named.join(first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))))
