@@ -148,3 +148,12 @@ def test_texts_of_one_template_stay_unless_similar(spark):
     docs = template_group(np.random.default_rng(31), 400, 50)
     kept = {r["doc_id"] for r in without_similar(cases.plain(spark, docs)).collect()}
     assert set(range(350)) <= kept
+
+
+def test_similar_pairs_are_found_among_many_that_nearly_are(spark, monkeypatch):
+    docs = template_group(np.random.default_rng(31), 400, 50)
+    want = set(range(350))
+    assert {r["doc_id"] for r in without_similar(cases.plain(spark, docs)).collect()} & set(range(350, 400)) == set()
+    monkeypatch.setattr(simhash, "CHUNK", 150)  # tiles in parts
+    monkeypatch.setattr(simhash, "BLOCK", 20_000)  # and in blocks of sets
+    assert {r["doc_id"] for r in without_similar(cases.plain(spark, docs)).collect()} == want
