@@ -157,3 +157,12 @@ def test_similar_pairs_are_found_among_many_that_nearly_are(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CHUNK", 150)  # tiles in parts
     monkeypatch.setattr(simhash, "BLOCK", 20_000)  # and in blocks of sets
     assert {r["doc_id"] for r in without_similar(cases.plain(spark, docs)).collect()} == want
+
+
+def test_similar_short_texts_are_found(spark):
+    rng = np.random.default_rng(9)
+    docs = []
+    for i in range(200):
+        base = [f"term{k}" for k in rng.integers(0, 1 << 40, 9)]
+        docs += [(i, " ".join(base[:8])), (1000 + i, " ".join(base))]  # four of five shingles
+    assert {r["doc_id"] for r in without_similar(cases.plain(spark, docs)).collect()} == set(range(200))

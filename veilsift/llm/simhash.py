@@ -245,15 +245,17 @@ _STRIDES = (np.random.default_rng(20).integers(1, 1 << 63, WIDE_WORDS + BANDS *
 WIDE = ("m0", "m1", "m2", "m3")
 
 
+#: Sets of fewer shingles are counted whatever their bits: majorities of few hashes often tie, and differ more.
+SHORT = 20
 #: Most shingles of the rows that a block of a tile holds; a task has two blocks at once.
 BLOCK = 1 << 20
 
 
 def loose_for(similarity: float, bits: int = 64 * WIDE_WORDS) -> int:
     """Differing bits beyond which two sets aren't counted: the mean for equally large sets of that Jaccard similarity
-    plus 2.5 standard deviations."""
+    plus five standard deviations."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(bits * share + 2.5 * np.sqrt(bits * share * (1 - share))))
+    return int(np.ceil(bits * share + 5 * np.sqrt(bits * share * (1 - share))))
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -286,7 +288,8 @@ def near_pairs(marks: np.ndarray, sizes: np.ndarray, bands: np.ndarray, band: in
     n = len(marks)
     step = max(1, 1_000_000 // max(1, n))
     for lo in range(0, residents, step):
-        i, j = np.nonzero(distances(marks[lo : min(lo + step, residents)], marks[lo:]) <= loose)
+        hi = min(lo + step, residents)
+        i, j = np.nonzero((distances(marks[lo:hi], marks[lo:]) <= loose) | (sizes[lo:hi, None] < SHORT) | (sizes[None, lo:] < SHORT))
         i, j = i[i < j] + lo, j[i < j] + lo
         may = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j])
         for b in range(band):
@@ -394,8 +397,8 @@ def surplus(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id and text_key of the documents that are similar to one with a smaller doc_id: sets of five-word shingles with a
     Jaccard similarity of ``similarity`` or more.
 
-    Documents meet in tiles of those that share the least hashes of a band. Fingerprints far apart settle a pair; the sets
-    of all other pairs are counted in the first tile where they meet, unless counted pairs of the tile connect them already.
+    Documents meet in tiles of those that share the least hashes of a band. Fingerprints far apart settle a pair of
+    sets that aren't short; the sets of all other pairs are counted in the first tile where they meet, unless counted pairs of the tile connect them already.
     So every document of a group has a partner of counted similarity. All connected documents are a group. A null doc_id
     comes last; rows that repeat the one that stays stay with it.
     """
