@@ -1,8 +1,12 @@
+import hashlib
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tests import fixtures
 from veilsift.plans import registry
+from veilsift.rules.formats import MARKER_LABELS
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -41,3 +45,21 @@ def test_no_plaintext_in_outputs(spark, sf_dir):
     for name in ("catalogue_findings", "catalogue_identities", "secret_mask", "keyed_secret_docs"):
         whole = str(registry.QUERIES[name](spark, sf_dir).collect())
         assert not any(v in whole for v in values)
+
+
+def test_redaction_spans_of_texts_beyond_ascii(spark, tmp_path):
+    token = fixtures.github()
+    texts = {1: f"use {token} now", 2: f"été 日本語 🙂 use {token} now", 3: f"{token} – {fixtures.stripe()} für später ü", 4: "été"}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in registry.redaction_spans(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3} and all(r["same_length"] for r in got.values())
+    found = registry.catalogue_findings(spark, str(tmp_path)).collect()
+    for i, row in got.items():
+        raw = texts[i].encode()
+        places = {(r["start"], r["end"]): r for r in found if r["doc_id"] == i}
+        assert row["spans"] == len(places)
+        for (start, end), r in places.items():
+            tag = f"[REDACTED:{MARKER_LABELS[r['kind']]}:{r['fingerprint'][4:8].upper()}]".encode()
+            assert raw[start:end].decode() in (token, fixtures.stripe())
+            raw = raw[:start] + tag.ljust(end - start, b"*") + raw[end:]
+        assert row["redacted_sha256"] == hashlib.sha256(raw).hexdigest()

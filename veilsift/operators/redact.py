@@ -266,10 +266,11 @@ def apply(planned: DataFrame, key: bytes, editor: Callable[[str, list[dict], byt
 
 
 def redacted_text(text, spans, kinds=None):
-    """A text with the ranges of ``spans`` (array of struct start, end, replacement; code points, ascending, apart) replaced."""
+    """A text with the ranges of ``spans`` (array of struct start, end, replacement; code points, or bytes if text and
+    replacements are binary; ascending, apart) replaced."""
     step = F.aggregate(
         spans,
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")),
+        F.struct(F.substr(text, F.lit(1), F.lit(0)).alias("out"), F.lit(0).cast("bigint").alias("at")),
         lambda acc, s: F.struct(F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), s["replacement"]).alias("out"), s["end"].alias("at")),
     )
     return F.concat(step["out"], F.substr(text, step["at"] + 1, F.length(text)))

@@ -365,9 +365,9 @@ def redaction_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with all findings of the catalogue replaced, in one pass over their spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = relational.one_for_each_place(detect.scan_table(docs, "doc_id", "text", KEY, source="documents"))
-    new = C.replacement((F.col("end") - F.col("start")).cast("int"), F.col("kind"), F.col("fingerprint"))
+    new = C.replacement((F.col("end") - F.col("start")).cast("int"), F.col("kind"), F.col("fingerprint")).cast("binary")
     spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", new.alias("replacement")))).alias("spans"))
-    # Offsets are bytes; texts whose bytes and characters run alike are cut directly.
-    joined = docs.join(spans, "doc_id").where(F.octet_length("text") == F.length("text"))
+    # Offsets are bytes, so texts are cut as bytes.
+    joined = docs.join(spans, "doc_id").withColumn("text", F.col("text").cast("binary"))
     out = redact.redacted_text(F.col("text"), F.col("spans"))
-    return joined.select("doc_id", F.size("spans").alias("spans"), F.sha2(out.cast("binary"), 256).alias("redacted_sha256"), (F.length(out) == F.length("text")).alias("same_length"))
+    return joined.select("doc_id", F.size("spans").alias("spans"), F.sha2(out, 256).alias("redacted_sha256"), (F.length(out) == F.length("text")).alias("same_length"))
