@@ -72,3 +72,20 @@ def test_ids_come_as_arrays_and_empty_table(spark):
     out = {r["doc_id"]: r["ids"] for r in encoded(cases.frame(spark), FILE).collect()}
     assert out[8] == ids(Pieces.read(FILE), ["short"])[0] and out[3] == []
     assert encoded(cases.frame(spark, []), FILE).count() == 0
+
+
+def test_a_text_with_the_space_mark_does_not_claim_to_come_back(spark):
+    out = {r["doc_id"]: r["round_trip"] for r in summaries(cases.plain(spark, [(1, "x" + SPACE + "y"), (2, "x y")]), FILE).collect()}
+    assert out == {1: False, 2: True}
+
+
+def test_long_words_are_cut_into_blocks_without_loss(monkeypatch):
+    from veilsift.llm import sentencepiece as module
+
+    rng, pieces = random.Random(6), Pieces.read(FILE)
+    words = ["".join(rng.choice("abcdefghinorst日é") for _ in range(n)) for n in (700, 700, 3000)]
+    whole = pieces.segmented(words)
+    monkeypatch.setattr(module, "CELLS", 4000)
+    assert pieces.segmented(words) == whole
+    pieces.encode(["x" * 100_000])
+    assert max(map(len, pieces.known)) <= module.KEPT_CHARS

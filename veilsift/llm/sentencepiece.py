@@ -10,7 +10,10 @@ The segmentation is the one of greatest total score, which is what the model's s
 model of another type the ids can differ from those that its own merge order gives, while decoding is exact either way.
 
 Edge cases: a null or empty text has no ids; equal scores take the longer last piece; the unknown, control and byte
-pieces never match text; repeated rows are encoded alike; an empty table gives an empty result.
+pieces never match text; repeated rows are encoded alike; an empty table gives an empty result; other columns are ignored,
+whatever their names. A text that holds U+2581 comes back with a space in its place, so its ``round_trip`` is false. Long
+texts are read whole; a word of n characters takes n steps over blocks of bounded size, and is not remembered beyond
+``KEPT_CHARS`` characters.
 """
 
 from __future__ import annotations
@@ -25,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import mapped
-from veilsift.llm.token_files import slices
+from veilsift.llm.common import mapped, slices
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 UNKNOWN_PENALTY = 10.0
-REMEMBERED, CELLS = 250_000, 2_000_000
+SLICE, CELLS = 2_000_000, 2_000_000
+#: Words that a worker remembers: short ones, and so many of them (some 40 MB).
+KEPT_CHARS, KEPT = 32, 150_000
 _PRIME = np.uint64(0x100000001B3)
 _models: dict[str, Pieces] = {}
 
@@ -115,11 +119,12 @@ class Pieces:
         cut = [WORDS.findall((SPACE if self.prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
         wanted = set().union(*cut)
         new = [w for w in wanted if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > KEPT:
             self.known = {w: self.known[w] for w in wanted if w in self.known}  # those in use stay
-        self.known.update(zip(new, self.segmented(new), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+        fresh = dict(zip(new, self.segmented(new), strict=True))
+        self.known.update((w, fresh[w]) for w in new[: max(0, KEPT - len(self.known))] if len(w) <= KEPT_CHARS)
+        held = {w: fresh[w] if w in fresh else self.known[w] for w in wanted}
+        return [b"".join(map(held.__getitem__, words)) for words in cut]
 
     def segmented(self, words: list[str]) -> list[bytes]:
         """The best segmentation of each word; words of equal length are searched together."""
@@ -136,32 +141,32 @@ class Pieces:
         return found
 
     def viterbi(self, words: list[str], n: int) -> list[bytes]:
-        """Segmentations of words of ``n`` characters."""
-        count = len(words)
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(count, n).astype(np.uint64)
+        """Segmentations of words of ``n`` characters: pieces are looked up for all substrings of a block of places at once."""
+        count, width, last = len(words), min(n, self.longest), len(self.keys) - 1
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(count, n).T.astype(np.uint64)
         best = np.full((n + 1, count), -np.inf)
         best[0] = 0
         back, piece = np.zeros((n + 1, count), np.int32), np.full((n + 1, count), -1, np.int32)
-        width = min(n, self.longest)
-        rolled: dict[int, np.ndarray] = {}  # by start: hashes of the substrings from there to the present end
-        last = len(self.keys) - 1
-        for end in range(1, n + 1):
-            low = max(0, end - width)
-            column = codes[:, end - 1]
-            rolled[end - 1] = mixed(np.full(count, BASE, np.uint64), column)
-            for start in range(low, end - 1):
-                rolled[start] = mixed(rolled[start], column)
-            keys = np.stack([finished(rolled[s]) for s in range(low, end)])
-            at = np.minimum(np.searchsorted(self.keys, keys), last)
-            hit = self.keys[at] == keys
-            total = np.where(hit, best[low:end] + self.values[at], -np.inf)
-            alone = best[end - 1] + self.unknown_score  # no piece: one character
-            total[-1] = np.where(hit[-1], total[-1], alone)
-            pick = np.argmax(total, axis=0)
-            columns = np.arange(count)
-            rolled.pop(end - width, None)
-            best[end], back[end] = total[pick, columns], low + pick
-            piece[end] = np.where(hit[pick, columns], self.ids[at[pick, columns]], -1)
+        columns, step = np.arange(count), max(1, CELLS // (width * count))
+        for low in range(0, n, step):
+            high, first = min(n, low + step), max(0, low - width + 1)
+            span = codes[first:high]
+            found, value = np.full((width, len(span), count), -1, np.int32), np.full((width, len(span), count), -np.inf)
+            state = np.full(span.shape, BASE, np.uint64)
+            for k in range(1, min(width, len(span)) + 1):  # substrings of k characters, by their starts
+                state = mixed(state[: len(span) - k + 1], span[k - 1 :])
+                keys = finished(state)
+                at = np.minimum(np.searchsorted(self.keys, keys), last)
+                hit = self.keys[at] == keys
+                found[k - 1, : len(keys)] = np.where(hit, self.ids[at], -1)
+                value[k - 1, : len(keys)] = np.where(hit, self.values[at], -np.inf)
+            for end in range(low + 1, high + 1):
+                sizes = np.arange(min(width, end), 0, -1)
+                own = found[sizes - 1, end - sizes - first]
+                total = best[end - sizes] + value[sizes - 1, end - sizes - first]
+                total[-1] = np.where(own[-1] >= 0, total[-1], best[end - 1] + self.unknown_score)  # no piece: one character
+                pick = np.argmax(total, axis=0)
+                best[end], back[end], piece[end] = total[pick, columns], end - sizes[pick], own[pick, columns]
         return self.traced(words, back, piece, n)
 
     def traced(self, words: list[str], back: np.ndarray, piece: np.ndarray, n: int) -> list[bytes]:
@@ -234,7 +239,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.read(model)
         for batch in batches:
-            for lo, texts in slices(batch.column(1)):
+            for lo, texts in slices(batch.column(1), SLICE):
                 raw = pieces.encode(texts.to_pylist())
                 ends = np.cumsum([0, *(len(x) // 4 for x in raw)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
@@ -252,11 +257,11 @@ def summaries(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.read(model)
         for batch in batches:
-            for lo, texts in slices(batch.column(1)):
+            for lo, texts in slices(batch.column(1), SLICE):
                 rows = []
                 for doc, text, raw in zip(batch.column(0).slice(lo, len(texts)).to_pylist(), texts.to_pylist(), pieces.encode(texts.to_pylist()), strict=True):
                     again = pieces.decode(np.frombuffer(raw, "<i4"))
-                    rows.append((doc, len(raw) // 4, zlib.crc32(raw), zlib.crc32(again.encode()), len(again), again == (text or "").replace(SPACE, " ")))
+                    rows.append((doc, len(raw) // 4, zlib.crc32(raw), zlib.crc32(again.encode()), len(again), again == (text or "")))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in SUMMARY.split(", ")])
 

@@ -6,10 +6,15 @@ written as one file whose record batches hold ``tokens: fixed_size_list<uint16|u
 any sequence and its mask are read without a copy: ``sequence(path, k)``.
 
 A text is cut at single spaces between two characters that aren't white space; the tokenizer's pre-tokens never cross
-such a place, so chunks are encoded once by the library and remembered. Strings of special tokens are ordinary text.
+such a place, so chunks are encoded once by the library and short ones remembered. A text that holds the string of an
+added token is given to the library whole, so the ids are those of ``encode(text, add_special_tokens=False)`` for any text.
+
+Ranges are about ``FILE_BYTES`` of the plan's size, and a task begins a new file after ``FILE_IDS`` ids, so neither files
+nor tasks grow with the input.
 
 Edge cases: a null or empty text gives the end id alone; null doc_ids come first; rows that repeat a doc_id keep a place
-each, ordered by text; an empty table gives no files and an empty result; other columns are ignored.
+each, ordered by a hash of the text and the text; an empty table gives no files and an empty result; other columns are
+ignored, whatever their names. A long text, with or without spaces, is encoded whole by the task that has its row.
 """
 
 from __future__ import annotations
@@ -25,12 +30,17 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from veilsift.llm.common import mapped, settled
+from veilsift.llm.common import mapped, settled, slices, text_key
 from veilsift.llm.storage import new_folder, opened, own_name
 
-LENGTH, GROUP, REMEMBERED, SLICE = 2048, 64, 600_000, 6_000_000
+LENGTH, GROUP, SLICE = 2048, 64, 4_000_000
+#: Chunks that a worker remembers: short ones, and so many of them (some 30 MB).
+KEPT_CHARS, KEPT = 32, 150_000
+#: Size of a range by the plan's estimate, and ids after which a file is closed.
+FILE_BYTES, FILE_IDS = 128 << 20, 1 << 26
 #: White space in Unicode; a space beside any of it is no safe place to cut.
 _WHITE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 BESIDE_SPACE = f"{_WHITE} | {_WHITE}"
@@ -43,8 +53,9 @@ class ChunkEncoder:
 
     def __init__(self, path: str, kind: str) -> None:
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = "|".join(map(re.escape, added))
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that begin with a space
         for token, i in self.tokenizer.get_vocab().items():
             self.spaced[i] = token.startswith("\u0120")
@@ -55,15 +66,17 @@ class ChunkEncoder:
             _encoders[path, kind] = ChunkEncoder(path, kind)
         return _encoders[path, kind]
 
-    @staticmethod
-    def chunks(texts: pa.Array) -> pa.ListArray:
+    def chunks(self, texts: pa.Array) -> pa.ListArray:
         """Each text in pieces whose encodings, one after another, are the text's; each but the first begins with its space."""
         odd = pc.match_substring_regex(texts, BESIDE_SPACE)
+        whole = pc.match_substring_regex(texts, self.added) if self.added else pa.array(np.zeros(len(texts), bool))
         cut = pc.split_pattern(texts, " ")
+        odd = pc.or_(odd, whole)
         if not pc.any(odd).as_py():
             return cut
         where = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-        careful = pa.array([SAFE_SPACE.split(t) for t in texts.take(pa.array(where)).to_pylist()], cut.type)
+        some = zip(texts.take(pa.array(where)).to_pylist(), whole.take(pa.array(where)).to_pylist(), strict=True)
+        careful = pa.array([[t] if entire else SAFE_SPACE.split(t) for t, entire in some], cut.type)
         order = np.arange(len(texts))
         order[where] = len(texts) + np.arange(len(where))
         return pa.concat_arrays([cut, careful]).take(pa.array(order))
@@ -93,14 +106,24 @@ class ChunkEncoder:
         cut = self.chunks(texts.fill_null(""))
         offsets = cut.offsets.to_numpy() - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        codes = coded.indices.to_numpy().astype(np.int64)
+        later = np.ones(len(codes), bool)
+        later[offsets[:-1]] = False
+        used = np.unique(codes[later])  # chunks that follow a space
+        words = coded.dictionary.take(pa.array(used)).to_pylist()
+        heads = coded.dictionary.take(pa.array(codes[offsets[:-1]])).to_pylist()
         new = [x for x in words if x not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {x: self.known[x] for x in words if x in self.known}
-        self.known.update(self.fresh(new))
-        heads = [words[c] for c in codes[offsets[:-1]].tolist()]
-        first = {x: np.array(got.ids, self.kind).tobytes() for x, got in zip(dict.fromkeys(heads), self.tokenizer.encode_batch_fast(list(dict.fromkeys(heads)), add_special_tokens=False), strict=True)}
-        entries = [self.known[x] for x in words] + [first[x] for x in heads] + [b"" if end is None else np.array([end], self.kind).tobytes()]
+        if len(self.known) + len(new) > KEPT:
+            self.known = {x: self.known[x] for x in words if x in self.known}  # those in use stay
+        fresh = self.fresh(new)
+        entries = [self.known[x] if x in self.known else fresh[x] for x in words]
+        self.known.update((x, fresh[x]) for x in new[: max(0, KEPT - len(self.known))] if len(x) <= KEPT_CHARS)
+        distinct = list(dict.fromkeys(heads))
+        first = {x: np.array(got.ids, self.kind).tobytes() for x, got in zip(distinct, self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False), strict=True)}
+        entries += [first[x] for x in heads] + [b"" if end is None else np.array([end], self.kind).tobytes()]
+        places = np.zeros(len(coded.dictionary), np.int64)
+        places[used] = np.arange(len(used))
+        codes = places[codes]
         codes[offsets[:-1]] = len(words) + np.arange(len(heads))
         codes = np.insert(codes, offsets[1:], len(entries) - 1)
         sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // np.dtype(self.kind).itemsize
@@ -112,16 +135,6 @@ class ChunkEncoder:
         return ids, counts
 
 
-def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, pa.Array]]:
-    """Runs of rows with about ``most`` bytes of text."""
-    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
-    lo = 0
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
-        yield lo, texts.slice(lo, hi - lo)
-        lo = hi
-
-
 def layout(kind: str, length: int) -> pa.Schema:
     return pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(np.dtype(kind)), length)), ("mask", pa.list_(pa.bool_(), length))])
 
@@ -161,19 +174,30 @@ class SequenceWriter:
         self.sink.close()
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH, kind: str = "<u2", files: int | None = None) -> DataFrame:
-    """Writes the files and returns their list, settled: part, path, index, documents, ids; parts in ascending doc_id order."""
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH, kind: str | None = None, files: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
+    """Writes the files and returns their list, settled: part, place, path, index, documents, ids; in ascending doc_id order
+    by part and place. ``kind``: the ids' type, by default the smallest of 16 and 32 bits that holds the vocabulary."""
     spark = docs.sparkSession
     folder = new_folder(spark, "tokens")
+    kind = kind or ("<u2" if max(Tokenizer.from_file(tokenizer).get_vocab(True).values(), default=0) < 1 << 16 and end_id < 1 << 16 else "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = ChunkEncoder.of(tokenizer, kind), TaskContext.get().partitionId()
-        path, index = own_name(folder, part, ".arrow"), own_name(folder, part, ".index")
-        out, listed = None, None
-        documents = 0
+        encoder, part, place = ChunkEncoder.of(tokenizer, kind), TaskContext.get().partitionId(), 0
+        out = None
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            listed.close()
+            sink.close()
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "place": pa.array([place], pa.int32()), "path": [path], "index": [index], "documents": [documents], "ids": [out.total]})
+
         for batch in batches:
-            for lo, texts in slices(batch.column(1)):
+            for lo, texts in slices(batch.column(1), SLICE):
+                if out is not None and out.total >= file_ids:
+                    yield closed()
+                    out, place = None, place + 1
                 if out is None:
+                    path, index, documents = own_name(folder, part, ".arrow"), own_name(folder, part, ".index"), 0
                     out, (fs, inner) = SequenceWriter(path, kind, length), opened(index)
                     sink = fs.open_output_stream(inner, compression=None)
                     listed = pa.ipc.new_file(sink, listed_schema())
@@ -183,15 +207,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, length:
                 documents += len(texts)
                 listed.write_batch(pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(firsts), pa.array(counts)], schema=listed_schema()))
         if out is not None:
-            out.close()
-            listed.close()
-            sink.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "index": [index], "documents": [documents], "ids": [out.total]})
+            yield closed()
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
-    parts = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return settled(ranged.transform(mapped, run, "part int, path string, index string, documents bigint, ids bigint"), "token-list")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text", text_key().alias("key"))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, size // FILE_BYTES))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("key")]
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    return settled(ranged.transform(mapped, run, "part int, place int, path string, index string, documents bigint, ids bigint"), "token-list")
 
 
 def listed_schema() -> pa.Schema:
@@ -226,14 +249,10 @@ def read_documents(path: str, index: str) -> Iterator[tuple[int | None, int, np.
 
 def read_token_files(listed: DataFrame, digest: Callable[[np.ndarray], int] | None = None) -> DataFrame:
     """Per document, read back from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    spark = listed.sparkSession
-    base, starts = 0, []
-    for row in listed.orderBy("part").collect():  # one row for each file
-        starts.append((row["path"], row["index"], base))
-        base += row["ids"]
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
-    if not starts:
-        return spark.createDataFrame([], schema)
+    # One row for each file of some 128 MB: a running sum over these is no large group.
+    files = listed.select("path", "index", (F.sum("ids").over(Window.orderBy("part", "place")) - F.col("ids")).alias("before"))
+    count = listed.count()
     digest = digest or (lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,5 +267,4 @@ def read_token_files(listed: DataFrame, digest: Callable[[np.ndarray], int] | No
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = spark.createDataFrame(starts, "path string, index string, before bigint").repartition(len(starts))
-    return files.transform(mapped, run, schema)
+    return files.repartition(max(1, count)).transform(mapped, run, schema)
