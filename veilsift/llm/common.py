@@ -74,14 +74,22 @@ def text_key(text: Column | str = "text") -> Column:
     return F.xxhash64(text)
 
 
+def own_column(df: DataFrame) -> str:
+    """A name that no column of ``df`` has, in upper or lower case."""
+    taken = {c.lower() for c in df.columns}
+    return next(name for name in (f"__own{i}" for i in range(len(taken) + 1)) if name not in taken)
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id and text's key are in ``dropped`` (doc_id, text_key; null equals null).
 
-    A dropped set of checked size is broadcast, so that texts stay where they are; a larger one is shuffled.
+    A dropped set of checked size is broadcast, so that texts stay where they are; a larger one is shuffled. The columns
+    of ``docs`` may have any name.
     """
-    gone = few(dropped.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
-    rows = docs.withColumn("__own", text_key())
-    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["__id"]) & (rows["__own"] == gone["__key"]), "left_anti").drop("__own")
+    gone = few(dropped.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct())
+    own = own_column(docs)
+    rows = docs.withColumn(own, text_key())
+    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows[own] == gone["gone_key"]), "left_anti").drop(own)
 
 
 def lowest(edges: DataFrame) -> DataFrame:
