@@ -65,13 +65,31 @@ def test_linked_equals_single_comparisons():
     rng = np.random.default_rng(1)
     seeds = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
     marks = np.array([seeds[rng.integers(20)] ^ (np.uint64(1) << np.uint64(rng.integers(64))) for _ in range(300)])
-    label = linked(marks[:, None], 300, 2)
+    home = rng.random(300) < 0.6
+    label = linked(marks[:, None], np.zeros(300, int), home, 2)
     for a in range(300):
         for b in range(a):
-            if int(marks[a] ^ marks[b]).bit_count() <= 2:
+            if int(marks[a] ^ marks[b]).bit_count() <= 2 and (home[a] or home[b]):
+                assert label[a] == label[b]
+    own = rng.integers(0, 2, 300)
+    label = linked(marks[:, None], own, home, 2)
+    for a in range(300):
+        for b in range(a):
+            if int(marks[a] ^ marks[b]).bit_count() <= 2 and (home[a] or home[b]) and own[a] != own[b]:
                 assert label[a] == label[b]
 
 
+def test_blocks_hold_each_pair_with_a_resident():
+    rng = np.random.default_rng(3)
+    for chunks in (1, 2):
+        own, home = rng.integers(0, chunks, 60), rng.random(60) < 0.4
+        met = set()
+        for left, right in simhash.blocks(own, home, 200):
+            assert len(left) * len(right) <= 240
+            met |= {(min(a, b), max(a, b)) for a in left.tolist() for b in right.tolist()}
+        assert met >= {(a, b) for b in range(60) for a in range(b) if (home[a] or home[b]) and (chunks == 1 or own[a] != own[b])}
+
+
 def test_empty_table(spark):
     assert got(cases.frame(spark, [])) == []
     assert without_similar(cases.frame(spark, [])).count() == 0
@@ -97,28 +115,6 @@ def test_similar_documents_leave_one_and_others_stay(spark):
     assert kept == {i for i, _ in docs + half}
 
 
-def test_shortest_forests():
-    rng = np.random.default_rng(6)
-    for _ in range(50):
-        n, m = 30, 120
-        edges = np.stack([rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 9, m)], axis=1)
-        edges = edges[edges[:, 0] != edges[:, 1]]
-        root = list(range(n))
-
-        def find(a, root=root):
-            while root[a] != a:
-                a = root[a]
-            return a
-
-        total, count = 0, 0
-        for a, b, d in sorted(edges.tolist(), key=lambda e: e[2]):
-            if find(a) != find(b):
-                root[find(a)] = find(b)
-                total, count = total + d, count + 1
-        taken = edges[simhash.shortest_forest(edges, n)]
-        assert (len(taken), taken[:, 2].sum()) == (count, total)
-
-
 def test_similarity_is_counted_exactly_near_the_threshold(spark):
     rng = np.random.default_rng(12)
     words = [f"term{i}" for i in range(3000)]
@@ -166,3 +162,28 @@ def test_similar_short_texts_are_found(spark):
         base = [f"term{k}" for k in rng.integers(0, 1 << 40, 9)]
         docs += [(i, " ".join(base[:8])), (1000 + i, " ".join(base))]  # four of five shingles
     assert {r["doc_id"] for r in without_similar(cases.plain(spark, docs)).collect()} == set(range(200))
+
+
+def test_rows_of_one_set_are_compared_as_one(spark):
+    words = [f"term{i}" for i in range(40)]
+    docs = [(i, (" " if i % 2 else "  ").join(w.upper() if i % 3 else w for w in words)) for i in range(30)] + [(99, "quite another text of its own"), (100, " ")]
+    assert {r["doc_id"] for r in without_similar(cases.plain(spark, docs)).collect()} == {0, 99, 100}
+
+
+def test_most_planted_pairs_above_the_threshold_are_found(spark):
+    """Pairs of Jaccard 0.80 to 0.85, of many lengths; recall of links that are there."""
+    rng = np.random.default_rng(77)
+    docs, planted = [], 0
+    for i in range(300):
+        n = int(rng.integers(30, 400))
+        base = [f"term{k}" for k in rng.integers(0, 1 << 40, n)]
+        size = n - 4
+        goal = rng.uniform(0.8, 0.85)
+        added = int(size / goal - size)  # words after the end: as many shingles more
+        if size / (size + added) < 0.8:
+            continue
+        planted += 1
+        docs += [(i, " ".join(base)), (1000 + i, " ".join([*base, *(f"new{k}" for k in rng.integers(0, 1 << 40, added))]))]
+    kept = {r["doc_id"] for r in without_similar(cases.plain(spark, docs)).collect()}
+    missed = sum(i >= 1000 for i in kept)
+    assert planted > 200 and missed <= 0.01 * planted and {i for i, _ in docs if i < 1000} <= kept

@@ -2,40 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilsift.shared import shared_path
+
 #: Ids or digests of at most this many rows are broadcast (16 bytes a row and more in memory); beyond it a shuffle join does it.
 BROADCAST_ROWS = 200_000
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where it is unset (tests on one machine) a local folder is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="veilsift-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def settled(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends at a table that outlives executors."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
@@ -69,6 +49,24 @@ def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+#: Keys that more rows than this share, and more than one in ``HOT_SHARE`` of all, are hot: at most ``HOT_SHARE`` keys.
+HOT_ROWS, HOT_SHARE = 10_000, 10_000
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` with the columns of ``right`` (one row a key) where the key is found, else nulls.
+
+    The rows of hot keys stay where they are and look in a broadcast of at most ``HOT_SHARE`` rows, so no task gathers the
+    rows of one key. ``left`` and ``right`` are read more than once: settled tables.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(HOT_ROWS, left.count() // HOT_SHARE))
+    hot = settled(counts.select(key), "hot")
+    if hot.isEmpty():
+        return left.join(right, key, "left")
+    told = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key, "left")
+    return told.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, "left"))
+
+
 def text_key(text: Column | str = "text") -> Column:
     """With doc_id it names a row even where ids are missing or repeat; rows that agree in both are copies of each other."""
     return F.xxhash64(text)

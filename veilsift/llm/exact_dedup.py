@@ -20,7 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import few, own_column, settled, shared_path, text_key, without
+from veilsift.llm.common import few, own_column, settled, text_key, without
+from veilsift.shared import shared_path
 
 #: Memtables.
 RUNS = 3

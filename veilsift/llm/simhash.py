@@ -2,9 +2,9 @@
 
 Fingerprints are sorted into tiles by the population counts of their bit blocks. Two fingerprints that differ in r bits
 have block counts whose absolute differences add up to r at most, so tile pairs beyond the radius are skipped without
-loss; the others are compared in full by numpy exclusive-or and bit counts. A tile with more residents than ``CHUNK`` is
-split; the parts meet the same rows, so no comparison is lost. Each tile returns a spanning star for each group that it
-connects, never all pairs, and the stars of all tiles are merged by ``components``.
+loss; the others are compared in full by numpy exclusive-or and bit counts. A tile with more rows than ``CHUNK``, residents
+and visitors alike, is cut into chunks that meet by twos in a task each, so memory is bounded and no comparison lost. Each
+part returns a spanning star for each group that it connects, never all pairs, and the stars are merged by ``components``.
 
 Edge cases: a null or blank text has fingerprint zero, linked like any other; a text with fewer words than a shingle is
 one shingle; repeated rows and equal texts share a fingerprint; a null doc_id is no smallest identifier unless all of
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import components, few, mapped, settled, text_key, without
+from veilsift.llm.common import components, few, looked_up, mapped, settled, text_key, without
 
 CHUNK = 16_384
 SLICE = 65_536
@@ -104,48 +104,37 @@ def tiles(marks: DataFrame, radius: int, blocks: int) -> DataFrame:
     return marks.transform(mapped, run, "tile bigint, mark bigint, resident boolean")
 
 
-def linked(marks: np.ndarray, residents: int, radius: int) -> np.ndarray:
-    """Smallest index that each row is connected with, by pairs of one of the first ``residents`` rows and any row.
+def blocks(own: np.ndarray, home: np.ndarray, cells: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (left, right) of the rows to compare, each with each: every pair that has a resident, in blocks of bounded size.
 
-    ``marks``: n rows of one or more 64-bit words. Compared in tiles of bounded size.
+    ``own``: the chunk of each row; if there are two, only pairs across them are compared. ``home``: which are residents.
     """
-    label, n = np.arange(len(marks)), len(marks)
-    step = max(1, 2_000_000 // max(1, n))
-    for lo in range(0, residents, step):
-        near = distances(marks[lo : lo + step], marks[lo:]) <= radius
-        for i in np.flatnonzero(near.sum(axis=1) > 1):
-            met = np.unique(label[lo + np.flatnonzero(near[i])])
+    kinds = np.unique(own)
+    if len(kinds) == 1:
+        here, others = np.flatnonzero(home), np.flatnonzero(~home)
+        step = max(1, cells // max(1, len(own)))
+        for lo in range(0, len(here), step):
+            yield here[lo : lo + step], np.r_[here[lo:], others]
+        return
+    a, b = (np.flatnonzero(own == k) for k in kinds)
+    for left, right in ((a[home[a]], b), (b[home[b]], a[~home[a]])):
+        step = max(1, cells // max(1, len(right)))
+        for lo in range(0, len(left) if len(right) else 0, step):
+            yield left[lo : lo + step], right
+
+
+def linked(marks: np.ndarray, own: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
+    """Smallest index that each row is connected with. ``marks``: n rows of one or more 64-bit words."""
+    label = np.arange(len(marks))
+    for left, right in blocks(own, home):
+        near = distances(marks[left], marks[right]) <= radius
+        for i in np.flatnonzero(near.any(axis=1)):
+            met = np.unique(label[np.r_[left[i], right[near[i]]]])
             if len(met) > 1:
                 label[np.isin(label, met)] = met[0]
     return label
 
 
-def shortest_forest(edges: np.ndarray, n: int) -> np.ndarray:
-    """Which of the ``edges`` (a, b, length, ...) make a minimum spanning forest over ``n`` nodes; Boruvka's rounds."""
-    edges = edges[:, :3].astype(np.int64)
-    rank = np.argsort(np.lexsort((np.arange(len(edges)), edges[:, 2])))  # ties are settled, so no circle can close
-    taken, label = np.zeros(len(edges), bool), np.arange(n)
-    while True:
-        a, b = label[edges[:, 0]], label[edges[:, 1]]
-        left = np.flatnonzero(a != b)
-        if not len(left):
-            return taken
-        best = np.full(n, len(edges), np.int64)
-        np.minimum.at(best, a[left], rank[left])
-        np.minimum.at(best, b[left], rank[left])
-        picked = left[(best[a[left]] == rank[left]) | (best[b[left]] == rank[left])]
-        taken[picked] = True
-        while True:  # the smallest label runs along the picked edges
-            x, y = label[edges[picked, 0]], label[edges[picked, 1]]
-            low = np.minimum(x, y)
-            if (x == y).all():
-                break
-            to = np.arange(n)
-            np.minimum.at(to, x, low)
-            np.minimum.at(to, y, low)
-            label = to[label]
-
-
 def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Differing bits of all rows of two tiles, by exclusive-or and bit counts of their words."""
     apart = np.bitwise_count(left[:, None, 0] ^ right[None, :, 0]).astype(np.uint16)
@@ -184,31 +173,35 @@ def words_in(table: pa.Table, words: tuple[str, ...]) -> np.ndarray:
     return np.stack([table.column(c).to_numpy().view(np.uint64) for c in words], axis=1)
 
 
+def chunks_in(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The chunk of each row of a part, and if it is a resident of the tile."""
+    return table.column("own").to_numpy(), table.column("resident").to_numpy(zero_copy_only=False).astype(bool)
+
+
 def stars(batches: Iterator[pa.RecordBatch], radius: int, words: tuple[str, ...], node: str) -> Iterator[pa.RecordBatch]:
     """Edges (a, b) of a spanning star for each group within a tile; rows come sorted by tile and part.
 
     ``words``: the columns of a fingerprint's 64-bit words; ``node``: the column of the names to put into edges.
     """
     for table, starts, ends in grouped(batches):
-        marks = words_in(table, words)
-        names, home = table.column(node).to_numpy(), table.column("resident").to_numpy(zero_copy_only=False).astype(bool)
+        marks, names, own, home = words_in(table, words), table.column(node).to_numpy(), *chunks_in(table)
         for lo, hi in zip(starts, ends, strict=True):
-            order = lo + np.argsort(~home[lo:hi], kind="stable")
-            label = linked(marks[order], int(home[lo:hi].sum()), radius)
+            label = linked(marks[lo:hi], own[lo:hi], home[lo:hi], radius)
             tied = np.flatnonzero(label != np.arange(hi - lo))
             if len(tied):
-                yield pa.RecordBatch.from_arrays([pa.array(names[order[tied]]), pa.array(names[order[label[tied]]])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[lo + tied]), pa.array(names[lo + label[tied]])], ["a", "b"])
 
 
 def dealt(placed: DataFrame, node: str) -> DataFrame:
-    """``placed`` (tile, resident, ``node``, ...) with ``part``, in the order that ``grouped`` takes; heavy tiles in many parts."""
-    heavy = placed.where("resident").groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("tile", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
+    """``placed`` (tile, resident, ``node``, ...) with ``own``, the row's chunk of its tile, and ``part``, two chunks that meet,
+    in the order that ``grouped`` takes. A tile of at most ``CHUNK`` rows is one chunk."""
+    heavy = settled(placed.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("tile", F.ceil(F.col("n") / CHUNK).alias("parts")), "heavy")
     if heavy.isEmpty():
-        split = placed.withColumn("part", F.lit(0))
-    else:  # every row meets every part; it is a resident of one
-        own = F.pmod(F.xxhash64(node), F.coalesce("parts", F.lit(1)))
-        split = placed.join(heavy, "tile", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        split = split.withColumn("resident", F.col("resident") & (F.col("part") == own)).drop("parts")
+        split = placed.withColumn("own", F.lit(0).cast("bigint")).withColumn("part", F.lit(0).cast("bigint"))
+    else:
+        split = placed.join(few(heavy), "tile", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        split = split.withColumn("own", F.pmod(F.xxhash64(node), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+        split = split.withColumn("part", F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).drop("parts", "other")
     return split.repartition("tile", "part").sortWithinPartitions("tile", "part")
 
 
@@ -230,7 +223,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     tied = least.join(roots, F.col("mark") == F.col("node"), "left").withColumn("root", F.coalesce("root", "mark"))
     tied = tied.select("mark", "least", "root")
     smallest = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(tied.join(smallest, "root").select("mark", "component_id"), "mark").select("doc_id", "mark", "component_id")
+    told = settled(tied.join(smallest, "root").select("mark", "component_id"), "told")
+    return looked_up(marked, told, "mark").select("doc_id", "mark", "component_id")
 
 
 def hex_mark(mark):
@@ -282,16 +276,13 @@ def sets_for(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return marks.join(sets, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))).drop("__id", "__key")
 
 
-def near_pairs(marks: np.ndarray, sizes: np.ndarray, bands: np.ndarray, band: int, residents: int, similarity: float, loose: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs i < j of one of the first ``residents`` rows and any row, in blocks and sorted by i: those whose sets may have
-    the similarity and that share no band before ``band``, so that a pair is met in one tile only."""
-    n = len(marks)
-    step = max(1, 1_000_000 // max(1, n))
-    for lo in range(0, residents, step):
-        hi = min(lo + step, residents)
-        i, j = np.nonzero((distances(marks[lo:hi], marks[lo:]) <= loose) | (sizes[lo:hi, None] < SHORT) | (sizes[None, lo:] < SHORT))
-        i, j = i[i < j] + lo, j[i < j] + lo
-        may = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j])
+def near_pairs(marks: np.ndarray, sizes: np.ndarray, bands: np.ndarray, band: int, own: np.ndarray, similarity: float, loose: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (within a chunk i < j), in blocks and sorted by i: those whose sets may have the similarity and that
+    share no band before ``band``, so that a pair is met in one tile only."""
+    for left, right in blocks(own, np.ones(len(own), bool), 1_000_000):
+        i, j = np.nonzero((distances(marks[left], marks[right]) <= loose) | (sizes[left][:, None] < SHORT) | (sizes[right][None] < SHORT))
+        i, j = left[i], right[j]
+        may = ((i < j) | (own[i] != own[j])) & (np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]))
         for b in range(band):
             may &= bands[i, b] != bands[j, b]
         if may.any():
@@ -307,11 +298,10 @@ def meetings(batches: Iterator[pa.RecordBatch], similarity: float, loose: int) -
     for table, starts, ends in grouped(batches):
         marks, bands, sizes = words_in(table, WIDE), bands_in(table), table.column("size").to_numpy()
         tile, band, names = (table.column(c).to_numpy() for c in ("tile", "band", "node"))
-        home, met = table.column("resident").to_numpy(zero_copy_only=False).astype(bool), np.zeros(table.num_rows, bool)
+        own, met = chunks_in(table)[0], np.zeros(table.num_rows, bool)
         for lo, hi in zip(starts, ends, strict=True):
-            order = lo + np.argsort(~home[lo:hi], kind="stable")
-            for i, j in near_pairs(marks[order], sizes[order], bands[order], int(band[lo]), int(home[lo:hi].sum()), similarity, loose):
-                met[order[i]] = met[order[j]] = True
+            for i, j in near_pairs(marks[lo:hi], sizes[lo:hi], bands[lo:hi], int(band[lo]), own[lo:hi], similarity, loose):
+                met[lo + i] = met[lo + j] = True
         if met.any():
             yield pa.RecordBatch.from_arrays([pa.array(tile[met]), pa.array(band[met], pa.int32()), pa.array(names[met])], ["tile", "band", "node"])
 
@@ -319,22 +309,18 @@ def meetings(batches: Iterator[pa.RecordBatch], similarity: float, loose: int) -
 def counted(batches: Iterator[pa.RecordBatch], similarity: float, loose: int) -> Iterator[pa.RecordBatch]:
     """Edges (a, b) of pairs whose sets of shingles have the similarity, counted; rows come sorted by tile and part.
 
-    Every pair of a part is counted unless edges counted before connect it; a part that isn't ``alone`` has pairs of its
-    two blocks only.
+    Every pair of a part is counted unless edges counted before connect it; a part of two blocks has pairs across them only.
     """
     for table, starts, ends in grouped(batches):
         marks, bands, band, own, names = words_in(table, WIDE), bands_in(table), *(table.column(c).to_numpy() for c in ("band", "own", "node"))
-        alone, shingles = table.column("alone").to_numpy(zero_copy_only=False), table.column("shingles")
+        shingles = table.column("shingles")
         for lo, hi in zip(starts, ends, strict=True):
             held = shingles.slice(lo, hi - lo)
             sizes = np.concatenate([c.value_lengths().to_numpy() for c in held.chunks]).astype(np.int64)
             ids = np.unique(np.concatenate([c.flatten().to_numpy() for c in held.chunks]), return_inverse=True)[1]
             at, flags, label = np.r_[0, np.cumsum(sizes)], np.zeros(len(ids), bool), np.arange(hi - lo)
             a, b = [], []
-            for left, right in near_pairs(marks[lo:hi], sizes, bands[lo:hi], int(band[lo]), hi - lo, similarity, loose):
-                if not alone[lo]:
-                    across = own[lo + left] != own[lo + right]
-                    left, right = left[across], right[across]
+            for left, right in near_pairs(marks[lo:hi], sizes, bands[lo:hi], int(band[lo]), own[lo:hi], similarity, loose):
                 cuts = np.flatnonzero(np.r_[True, left[1:] != left[:-1]]) if len(left) else []
                 for i, js in zip(left[cuts].tolist(), np.split(right, cuts[1:]), strict=True) if len(cuts) else ():
                     js = js[label[js] != label[i]]
@@ -363,27 +349,29 @@ def similar_edges(met: DataFrame, held: DataFrame, similarity: float, loose: int
     split = met.join(total.where("parts > 1"), "tile", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     split = split.withColumn("own", F.pmod(F.xxhash64("node"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     part = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
-    split = split.select("tile", part.alias("part"), "band", "node", "own", (F.col("own") == F.col("other")).alias("alone"))
+    split = split.select("tile", part.alias("part"), "band", "node", "own")
     rows = split.join(held.select("node", *WIDE, "bands", "shingles"), "node").repartition("tile", "part").sortWithinPartitions("tile", "part")
     return rows.transform(mapped, lambda batches: counted(batches, similarity, loose), "a bigint, b bigint")
 
 
 def wide_marks(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, a 256-bit fingerprint (m0 to m3) of the set of five-word shingles, its size and its band keys."""
+    """doc_id, text_key, a 256-bit fingerprint (m0 to m3) of the set of five-word shingles, its size, its band keys and a
+    128-bit digest of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, sizes, bands = [], [], []
+            marks, sizes, bands, sets = [], [], [], []
             for t in batch.column(2).cast(pa.binary()):
                 own = np.unique(shingle_hashes(words_of(t.as_py()), WIDE_SHINGLE))
                 sizes.append(len(own))
+                sets.append(xxhash.xxh3_128_digest(own.tobytes()))
                 marks.append([majority_bits(mixed(own * x)) for x in _STRIDES[:WIDE_WORDS]])
                 least = [int(mixed(own * x).min()) if len(own) else 0 for x in _STRIDES[WIDE_WORDS:]]
                 bands.append([hash((i, *least[i * ROWS : (i + 1) * ROWS])) for i in range(BANDS)])
             columns = np.array(marks, np.uint64).reshape(-1, WIDE_WORDS).view(np.int64).T
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", *WIDE, "size", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["doc_id", "text_key", *WIDE, "size", "bands", "set"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), text_key().alias("text_key"), "text").transform(mapped, run, "doc_id bigint, text_key bigint, m0 bigint, m1 bigint, m2 bigint, m3 bigint, size bigint, bands array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), text_key().alias("text_key"), "text").transform(mapped, run, "doc_id bigint, text_key bigint, m0 bigint, m1 bigint, m2 bigint, m3 bigint, size bigint, bands array<bigint>, set binary")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -397,21 +385,26 @@ def surplus(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id and text_key of the documents that are similar to one with a smaller doc_id: sets of five-word shingles with a
     Jaccard similarity of ``similarity`` or more.
 
-    Documents meet in tiles of those that share the least hashes of a band. Fingerprints far apart settle a pair of
+    Documents of one set of shingles are compared as one. They meet in tiles of those that share the least hashes of a band. Fingerprints far apart settle a pair of
     sets that aren't short; the sets of all other pairs are counted in the first tile where they meet, unless counted pairs of the tile connect them already.
     So every document of a group has a partner of counted similarity. All connected documents are a group. A null doc_id
     comes last; rows that repeat the one that stays stay with it.
     """
-    marks = settled(wide_marks(docs).withColumn("node", F.monotonically_increasing_id()), "wide")
+    every = settled(wide_marks(docs), "wide")
+    marks = settled(every.dropDuplicates(["set"]).withColumn("node", F.monotonically_increasing_id()), "sets-of")
     placed = marks.select(F.posexplode("bands").alias("band", "key"), "node", "size", *WIDE, "bands")
     placed = placed.select(F.xxhash64("band", "key").alias("tile"), F.lit(True).alias("resident"), "band", "node", "size", *WIDE, "bands")
     loose = loose_for(similarity)
     met = settled(dealt(placed, "node").transform(mapped, lambda batches: meetings(batches, similarity, loose), "tile bigint, band int, node bigint").distinct(), "met")
     ends = settled(marks.join(met.select("node").distinct(), "node", "left_semi"), "ends")
-    roots = components(settled(similar_edges(met, settled(sets_for(docs, ends), "sets"), similarity, loose), "similar-edges"))
-    named = settled(marks.select("node", "doc_id", "text_key").join(roots, "node"), "groups")
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
-    others = named.join(first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))))
+    roots = components(settled(similar_edges(met, settled(sets_for(docs, ends), "shingles"), similarity, loose), "similar-edges"))
+    # Sets with a root, and those of several rows: their rows are looked up, all others are alone.
+    many = every.groupBy("set").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("set")
+    rooted = marks.select("set", "node").join(roots, "node", "left").join(many.withColumn("again", F.lit(True)), "set", "left")
+    rooted = settled(rooted.where("root is not null or again").select("set", F.coalesce("root", "node").alias("root")), "rooted")
+    named = settled(looked_up(every.select("set", "doc_id", "text_key"), rooted, "set").where("root is not null"), "groups")
+    first = settled(named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")), "firsts")
+    others = looked_up(named, first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))))
     return others.select("doc_id", "text_key")
 
 

@@ -8,7 +8,7 @@ import uuid
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 
-from veilsift.llm.common import shared_path
+from veilsift.shared import shared_path
 
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
