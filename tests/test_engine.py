@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tests import fixtures as fx
 from veilsift import model
 from veilsift.engine import Engine, installation_key
-from veilsift.operators import relational
+from veilsift.operators import detect, relational
+from veilsift.operators.detect import PREIMAGE, fingerprint
 from veilsift.operators.redact import apply_to_database, apply_to_file
 from veilsift.operators.state import State, enforced, read_policy_file, write_policy_file
 from veilsift.sources import extract, listing
@@ -38,7 +39,7 @@ def test_claude_tree(spark, tmp_path):
             raw = f.read()[r["start"] : r["end"]]
         assert len(raw) == r["end"] - r["start"]
     whole = "\n".join(r["json"] for r in report.json_lines().collect()) + report.text()
-    assert not any(s in whole for s in (fx.github(), fx.stripe(), "s3cretW0rd", fx.pem().split("\n")[1]))
+    assert not any(s in whole for s in (fx.github(), fx.stripe(), fx.password(17), fx.pem().split("\n")[1]))
     extended = Engine(spark, KEY, str(tmp_path), {}).scan(("conversation", "memory", "extended"))
     assert extended.findings.where("kind = 'slackToken'").count() == 1
     excluded = spark.createDataFrame([(str(tmp_path / ".claude/projects"),)], "folder string")
@@ -98,13 +99,71 @@ def test_plans_put_off_what_must_wait(spark, tmp_path):
     assert ("prompt-history", None) in counts(engine.plan(wanted, allow_active=True), "store", "deferral")
 
 
+def test_records_that_are_not_utf8_are_edited_where_the_bytes_are(spark, tmp_path):
+    root, token = tmp_path / ".claude", fx.github(70)
+    raw = b"\xff\xfe\x80 \" x \" " + token.encode() + b" tail that must stay \xc3"
+    path = fx.write(str(root), "paste-cache/odd.txt", raw)
+    twice = fx.write(str(root), "paste-cache/twice.txt", b"\xff " + fx.github(71).encode() + b" \x80 " + fx.github(71).encode())
+    engine = Engine(spark, KEY, str(tmp_path), {})
+    wanted = engine.scan().findings.select(*model.names(model.FINDING)).persist()
+    assert counts(engine.plan(wanted), "deferral") == {("notRedactable",): 3}
+    planned = engine.plan(wanted, allow_binary=True).persist()
+    assert counts(planned, "path", "deferral") == {(path, None): 1, (twice, "notRedactable"): 2}
+    assert counts(engine.apply(planned), "outcome") == {("applied",): 1}
+    with open(path, "rb") as f:
+        after = f.read()
+    at = raw.index(token.encode())
+    assert len(after) == len(raw) and after[:at] == raw[:at] and after[at + 40 :] == raw[at + 40 :] and token.encode() not in after
+    with open(twice, "rb") as f:
+        assert f.read().count(fx.github(71).encode()) == 2
+
+
+def test_other_conditions_hold_for_binary_records_too(spark, tmp_path):
+    root = str(tmp_path / ".claude")
+    path = fx.write(root, "paste-cache/odd.txt", b"\xff\x80 " + fx.github(72).encode() + b" end")
+    engine = Engine(spark, KEY, str(tmp_path), {})
+    wanted = engine.scan().findings.select(*model.names(model.FINDING)).persist()
+    wanted.count()
+    fx.write(root, "sessions/%d.json" % os.getpid(), "{}")
+    os.utime(path)  # in use
+    assert counts(engine.plan(wanted, allow_binary=True), "deferral") == {("sessionActive",): 1}
+    fx.write(root, "paste-cache/odd.txt", b"\xff\x80 " + b"z" * 44)  # changed
+    assert counts(engine.plan(wanted, allow_binary=True), "deferral").keys() <= {("notRedactable",), ("artifactChanged",)}
+    os.remove(path)
+    assert None not in {d for d, in counts(engine.plan(wanted, allow_binary=True), "deferral")}
+
+
+def test_databases_of_unknown_schema_are_not_written(spark, tmp_path):
+    root = os.path.join(str(tmp_path), ".codex")
+    os.makedirs(root)
+    path = os.path.join(root, "state_9.sqlite")
+    db = sqlite3.connect(path)
+    db.execute("CREATE TABLE novel (id TEXT, words TEXT)")
+    db.execute("INSERT INTO novel VALUES ('1', ?)", ("x " + fx.github(73),))
+    db.commit()
+    db.close()
+    os.utime(path, (1e9, 1e9))
+    engine = Engine(spark, KEY, str(tmp_path), {})
+    wanted = engine.scan(("conversation", "memory", "extended")).findings.select(*model.names(model.FINDING)).persist()
+    assert wanted.count() == 1
+    for binary in (False, True):
+        assert counts(engine.plan(wanted, allow_binary=binary), "deferral") == {("readOnlyStore",): 1}
+
+
+def test_work_is_dealt_over_several_tasks(spark, tmp_path):
+    for i in range(60):
+        fx.write(str(tmp_path), f".claude/paste-cache/{i}.txt", fx.github(100 + i))
+    engine = Engine(spark, KEY, str(tmp_path), {})
+    _, artifacts, _ = engine.listed()
+    scanned = detect.scan_artifacts(artifacts, KEY).select("path", F.spark_partition_id().alias("task"))
+    assert len({r["task"] for r in scanned.collect()}) > 6
+
+
 def edit(**more):
     return {"start": 5, "end": 13, "replacement": "********", "preimage": "", "device": 0, "inode": 0, "artifact_kind": "json", "tag": "json", "table": None, "rowid": None, "column": None} | more
 
 
 def test_edits_that_would_break_a_file_are_refused(tmp_path):
-    from veilsift.operators.detect import PREIMAGE, fingerprint
-
     path = tmp_path / "a.json"
     path.write_text('{"a":"secretxx"}')
     info = os.stat(path)
@@ -125,9 +184,19 @@ def test_busy_databases_are_left_alone(tmp_path):
     db.execute("CREATE TABLE t (c TEXT)")
     db.execute("INSERT INTO t VALUES ('secretxx')")
     db.execute("BEGIN EXCLUSIVE")
-    assert apply_to_database(path, [edit(tag="cell", table="t", rowid=1, column="c", start=0, end=8)], KEY)[0][0] == "failed"
+    info = os.stat(path)
+    assert apply_to_database(path, [edit(tag="cell", table="t", rowid=1, column="c", start=0, end=8, device=info.st_dev, inode=info.st_ino)], KEY)[0][0] == "failed"
     db.execute("ROLLBACK")
-    assert apply_to_database(path, [edit(tag="cell", table="t", rowid=9, column="c", start=0, end=8)], KEY)[0][0] == "artifactChanged"
+    info = os.stat(path)
+    place = {"device": info.st_dev, "inode": info.st_ino, "tag": "cell", "table": "t", "rowid": 1, "column": "c", "start": 0, "end": 8}
+    assert apply_to_database(path, [edit(**place | {"rowid": 9})], KEY)[0][0] == "artifactChanged"
+    assert apply_to_database(path, [edit(**place | {"inode": 1})], KEY)[0][0] == "artifactChanged"
+    good = fingerprint(KEY, PREIMAGE, b"secretxx")
+    db.execute("CREATE TRIGGER t1 AFTER UPDATE ON t BEGIN UPDATE t SET c = 'secretxx' WHERE rowid = new.rowid; END")
+    assert apply_to_database(path, [edit(**place, preimage=good)], KEY)[0][0] == "verificationFailed"
+    db.execute("DROP TRIGGER t1")
+    assert apply_to_database(path, [edit(**place, preimage=good)], KEY)[0][0] == "applied"
+    assert db.execute("SELECT c FROM t").fetchall() == [("********",)]
 
 
 def test_reading_a_database_leaves_its_bytes(tmp_path):

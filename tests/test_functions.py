@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tests import fixtures as fx
 from veilsift.functions import columns as C
-from veilsift.plans.registry import jwt_of
 from veilsift.rules import matcher
 from veilsift.sources.jsonwalk import JSONError, serialized, string_values
 
@@ -29,10 +28,10 @@ def test_columns_equal_the_python_forms(spark):
 
 
 def test_tokens_urls_and_keys(spark):
-    row = spark.createDataFrame([(fx.github(), fx.DATABASE, fx.pem(), jwt_of('{"exp":5}'))], "g string, u string, p string, j string").select(
+    row = spark.createDataFrame([(fx.github(), fx.DATABASE, fx.pem(), fx.jwt('{"exp":5}'))], "g string, u string, p string, j string").select(
         C.valid_checksum(F.col("g")), C.valid_checksum(F.concat(F.left("g", F.lit(39)), F.lit("!"))), C.mask_url(F.col("u")), C.mask_pem(F.col("p")), C.jwt_expiry(F.col("j")), C.jwt_expired(F.col("j"), F.lit(6.0)), C.jwt_summary(F.col("j"))["payload"], C.jwt_expiry(F.lit("no.jwt")), C.mask_url(F.lit("not a url at all"))
     ).first()
-    assert list(row) == [True, False, "postgres://app:••••@db.payments.internal:5432/…", "Private key · RSA", 5.0, True, '{"exp":5}', None, "not a url at••••"]
+    assert list(row) == [True, False, "mysql://ledger:••••@sql7.warehouse.corp:3307/…", "Private key · RSA", 5.0, True, '{"exp":5}', None, "not a url at••••"]
 
 
 def test_redaction_columns(spark):

@@ -109,7 +109,7 @@ class Engine:
         stores, artifacts, _ = self.listed()
         artifacts = artifacts.join(wanted.select("path").distinct(), "path", "left_semi").select(*artifacts.columns)
         fresh = detect.findings(detect.scan_artifacts(artifacts, self.key, self.rules))
-        return redact.plan(wanted, fresh, artifacts, stores, self.active(artifacts, wanted), self.key, **allowed)
+        return redact.plan(wanted, fresh, artifacts, stores, self.active(artifacts, wanted), self.key, rules=None if self.rules is None else tuple(self.rules), **allowed)
 
     def apply(self, planned: DataFrame) -> DataFrame:
         """Applies a plan once and returns the outcomes."""

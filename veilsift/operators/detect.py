@@ -73,10 +73,16 @@ def byte_range(text: str, m: Match) -> tuple[int, int]:
     return lo, lo + len(text[m.start : m.end].encode())
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt out by path over a set number of tasks, several for each core, so that tasks which meet large files
+    hold nothing up and adaptive execution doesn't put the few bytes of a listing into one task."""
+    return rows.repartition(max(4 * rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path")
+
+
 def scan_artifacts(artifacts: DataFrame, key: bytes, rules: list[Rule] | None = None) -> DataFrame:
     """Findings and gaps of artifacts, each read once where it lies; rows have either ``finding`` or ``gap``, and ``reached``.
 
-    Artifacts are dealt one by one over the tasks, the largest first, so that no task gathers many large ones.
+    Artifacts are dealt out by path over several tasks for each core.
     """
     chosen = None if rules is None else tuple(rules)
     finding, reason = StructType.fromDDL(model.FINDING), model.REASON
@@ -104,7 +110,7 @@ def scan_artifacts(artifacts: DataFrame, key: bytes, rules: list[Rule] | None =
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     columns = ["adapter", "store", "path", "session", "project", "kind", *(c for c in ("start", "delta") if c in artifacts.columns)]
-    return artifacts.orderBy(F.col("size").desc(), "path").select(*columns).transform(bounded, run, schema)
+    return dealt(artifacts.select(*columns)).transform(bounded, run, schema)
 
 
 def findings(scanned: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 A plan has no plaintext, only keyed digests of the bytes to be replaced. Tasks may be tried again: an edit whose bytes are
 the replacement already counts as done, and any other change since planning refuses it.
+
+Ranges found in text that isn't UTF-8 say nothing about bytes. Where ``allow_binary`` lets such records be edited, the
+task that looks at them scans the record anew, and takes the range where the secret's own bytes lie, if there is just one;
+every other condition holds for them as for all.
 """
 
 from __future__ import annotations
@@ -18,8 +22,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from veilsift.functions.columns import replacement
-from veilsift.operators.detect import PREIMAGE, fingerprint
-from veilsift.sources.extract import quoted
+from veilsift.operators.detect import PREIMAGE, dealt, fingerprint
+from veilsift.rules.catalogue import Rule
+from veilsift.rules.matcher import scanner
+from veilsift.sources.extract import quoted, schema_is_known
 from veilsift.sources.jsonwalk import JSONError, string_values
 from veilsift.sources.listing import REDACT_INACTIVE
 
@@ -34,31 +40,39 @@ def cell_key(frame: DataFrame) -> DataFrame:
     return frame.withColumn("cell", cell)
 
 
-def preimages(found: DataFrame, key: bytes) -> DataFrame:
-    """``found`` with the keyed digest of the bytes that lie in each range now, read where they are."""
-    schema = StructType([*found.drop("preimage").schema.fields, *StructType.fromDDL("preimage string").fields])
+def preimages(found: DataFrame, key: bytes, allow_binary: bool = False, rules: tuple[Rule, ...] | None = None) -> DataFrame:
+    """``found`` with what lies in each range now, read where it is: ``preimage``, its keyed digest; ``exact_start`` and
+    ``exact_end``, for records that aren't UTF-8; ``known``, if a database's schema is one that may be written."""
+    schema = StructType([*found.drop("preimage").schema.fields, *StructType.fromDDL("preimage string, exact_start bigint, exact_end bigint, known boolean").fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
             for r in rows:
-                data = bytes_at(r)
+                exact = located(r, key, rules) if allow_binary and r["feasibility"] == "offsetsUnreliable" else None
+                data = bytes_at(r if exact is None else r | {"start": exact[0], "end": exact[1]})
                 r["preimage"] = None if data is None else fingerprint(key, PREIMAGE, data)
+                r["exact_start"], r["exact_end"] = exact or (None, None)
+                r["known"] = r["tag"] != "cell" or schema_is_known(r["path"], r["adapter"], r["store"])
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return found.drop("preimage").mapInArrow(run, schema)
+    return dealt(found.drop("preimage")).mapInArrow(run, schema)
+
+
+def cell_at(place: dict) -> bytes | None:
+    with sqlite3.connect(f"file:{place['path']}?mode=ro", uri=True) as db:
+        row = db.execute(f"SELECT {quoted(place['column'])} AS c FROM {quoted(place['table'])} WHERE rowid = ?", (place["rowid"],)).fetchone()
+    value = row[0] if row else None
+    return value.encode() if isinstance(value, str) else value
 
 
 def bytes_at(place: dict) -> bytes | None:
     """The bytes of a finding's range in its file or cell."""
     try:
         if place["tag"] == "cell":
-            with sqlite3.connect(f"file:{place['path']}?mode=ro", uri=True) as db:
-                row = db.execute(f"SELECT {quoted(place['column'])} AS c FROM {quoted(place['table'])} WHERE rowid = ?", (place["rowid"],)).fetchone()
-            value = row[0] if row else None
-            data = value.encode() if isinstance(value, str) else value
+            data = cell_at(place)
             return None if data is None else data[place["start"] : place["end"]]
         with open(place["path"], "rb") as f:
             f.seek(place["start"])
@@ -67,7 +81,37 @@ def bytes_at(place: dict) -> bytes | None:
         return None
 
 
-def plan(wanted: DataFrame, fresh: DataFrame, artifacts: DataFrame, stores: DataFrame, active: DataFrame, key: bytes, allow_active: bool = False, allow_binary: bool = False) -> DataFrame:
+def record_at(place: dict) -> tuple[int, bytes | None]:
+    """Where a finding's record begins (a line, a cell or a whole file), and its bytes."""
+    try:
+        if place["tag"] == "cell":
+            return 0, cell_at(place)
+        with open(place["path"], "rb") as f:
+            if place["line_offset"] is None:
+                return 0, f.read()
+            f.seek(place["line_offset"])
+            return place["line_offset"], f.readline()
+    except (OSError, sqlite3.Error):
+        return 0, None
+
+
+def located(place: dict, key: bytes, rules: tuple[Rule, ...] | None = None) -> tuple[int, int] | None:
+    """Start and end of the secret's own bytes, if its record holds them just once; a guess is never made."""
+    base, record = record_at(place)
+    if not record:
+        return None
+    text = record.decode("utf-8", "replace")
+    spelled = {text[m.start : m.end].encode() for m in scanner(rules).scan(text) if fingerprint(key, m.kind, m.canonical.encode()) == place["fingerprint"]}
+    if len(spelled) != 1:
+        return None
+    needle = spelled.pop()
+    at = record.find(needle)
+    if at < 0 or record.find(needle, at + 1) >= 0:
+        return None
+    return base + at, base + at + len(needle)
+
+
+def plan(wanted: DataFrame, fresh: DataFrame, artifacts: DataFrame, stores: DataFrame, active: DataFrame, key: bytes, allow_active: bool = False, allow_binary: bool = False, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """A row for each wanted occurrence: ``deferral`` says why it must wait, or is null and the row can be applied.
 
     ``wanted``: findings with the ``device`` and ``inode`` seen then (null: unknown); ``fresh``: a new scan's findings;
@@ -77,7 +121,7 @@ def plan(wanted: DataFrame, fresh: DataFrame, artifacts: DataFrame, stores: Data
     files = artifacts.select("path", F.col("kind").alias("artifact_kind"), F.col("device").alias("__device"), F.col("inode").alias("__inode"), F.col("size").alias("__size"), F.lit(True).alias("__listed"))
     abilities = stores.groupBy("adapter", "store").agg(F.bit_or("capabilities").alias("capabilities"))
     busy = active.select("path", F.col("reason").alias("__active")).dropDuplicates(["path"])
-    w = preimages(cell_key(wanted), key)
+    w = preimages(cell_key(wanted), key, allow_binary, rules)
     for c in ("device", "inode"):
         w = w if c in w.columns else w.withColumn(c, F.lit(None).cast("bigint"))
     joined = w.join(now, PLACE, "left").join(files, "path", "left").join(abilities, ["adapter", "store"], "left").join(busy, "path", "left")
@@ -87,8 +131,9 @@ def plan(wanted: DataFrame, fresh: DataFrame, artifacts: DataFrame, stores: Data
     deferral = (
         F.when(F.col("capabilities").isNull(), "missingStore")
         .when(F.col("capabilities").bitwiseAND(F.lit(REDACT_INACTIVE)) == 0, "readOnlyStore")
+        .when((F.col("adapter") == "codex") & ~F.coalesce("known", F.lit(False)), "readOnlyStore")
         .when((F.col("adapter") == "vscode-chat") & cell & resized, "adapterConstraint")
-        .when(F.col("feasibility") == "offsetsUnreliable", F.when(F.lit(allow_binary), F.lit(None)).otherwise("notRedactable"))
+        .when((F.col("feasibility") == "offsetsUnreliable") & F.col("exact_start").isNull(), "notRedactable")
         .when(F.col("__listed").isNull() | F.col("preimage").isNull() | moved, "artifactChanged")
         .when(~cell & (F.col("end") > F.col("__size")), "artifactChanged")
         .when(F.col("__active").isNotNull() & (F.lit(not allow_active) | resized), "sessionActive")
@@ -96,7 +141,9 @@ def plan(wanted: DataFrame, fresh: DataFrame, artifacts: DataFrame, stores: Data
     )
     length = (F.col("end") - F.col("start")).cast("int")
     edit = F.when(cell, "cellOverwrite").when(resized, "resize").otherwise("sameLength")
-    out = joined.withColumn("deferral", deferral).withColumn("edit", edit).withColumn("replacement", replacement(length, F.col("kind"), F.col("fingerprint")))
+    out = joined.withColumn("deferral", deferral).withColumn("edit", edit)
+    out = out.withColumns({"start": F.coalesce("exact_start", "start"), "end": F.coalesce("exact_end", "end")})
+    out = out.withColumn("replacement", replacement(length, F.col("kind"), F.col("fingerprint")))
     out = out.drop("device", "inode").withColumnsRenamed({"__device": "device", "__inode": "inode", "__size": "size"})
     return out.select(*[f.name for f in StructType.fromDDL(TARGET)], "deferral", F.col("__active").alias("active_reason")).distinct()
 
@@ -197,11 +244,15 @@ def apply_to_database(path: str, edits: list[dict], key: bytes) -> list[tuple[st
     """Outcome of each edit of cells, all in one immediate transaction; types and lengths of cells stay."""
     outcomes: list[tuple[str, str | None]] = []
     try:
+        info = os.stat(path)
+        if any((e["device"], e["inode"]) != (info.st_dev, info.st_ino) for e in edits):
+            return [("artifactChanged", None)] * len(edits)
         db = sqlite3.connect(path, isolation_level=None, timeout=1.5)
         db.execute("BEGIN IMMEDIATE")
-    except sqlite3.Error as e:
+    except (OSError, sqlite3.Error) as e:
         return [("failed", str(e))] * len(edits)
     try:
+        written: list[tuple[str, tuple, int, bytes]] = []
         for e in edits:
             c, t = quoted(e["column"]), quoted(e["table"])
             row = db.execute(f"SELECT {c} AS c FROM {t} WHERE rowid = ?", (e["rowid"],)).fetchone()
@@ -224,9 +275,19 @@ def apply_to_database(path: str, edits: list[dict], key: bytes) -> list[tuple[st
             put = edited.decode() if isinstance(value, str) else edited
             done = db.execute(f"UPDATE {t} SET {c} = ? WHERE rowid = ? AND {c} = ?", (put, e["rowid"], value)).rowcount
             outcomes.append(("applied", None) if done == 1 else ("artifactChanged", None))
+            if done == 1:
+                written.append((f"SELECT {c} FROM {t} WHERE rowid = ?", (e["rowid"],), e["start"], new))
+        wrong = None
+        for sql, rowid, at, new in written:  # read again, and checked, while all can still be undone
+            value = db.execute(sql, rowid).fetchone()[0]
+            if (value.encode() if isinstance(value, str) else value)[at : at + len(new)] != new:
+                wrong = "a cell doesn't hold the replacement"
+        if written and wrong is None and db.execute("PRAGMA integrity_check").fetchone()[0] != "ok":
+            wrong = "integrity check"
+        if wrong:
+            db.execute("ROLLBACK")
+            return [(o if o[0] != "applied" else ("verificationFailed", wrong)) for o in outcomes]
         db.execute("COMMIT")
-        if db.execute("PRAGMA integrity_check").fetchone()[0] != "ok":
-            return [(o if o[0] != "applied" else ("verificationFailed", "integrity check")) for o in outcomes]
         db.execute("PRAGMA wal_checkpoint(TRUNCATE)")
     except sqlite3.Error as e:
         if db.in_transaction:
@@ -262,7 +323,7 @@ def apply(planned: DataFrame, key: bytes, editor: Callable[[str, list[dict], byt
         if rows:
             yield edit(path, rows)
 
-    return targets(planned).repartition("path").sortWithinPartitions("path", "start").mapInArrow(run, OUTCOME)
+    return dealt(targets(planned)).sortWithinPartitions("path", "start").mapInArrow(run, OUTCOME)
 
 
 def redacted_text(text, spans, kinds=None):

@@ -22,7 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 KEY = hashlib.sha256(b"registered queries").digest()
 KIND = "genericSecret"
-PATTERN = r"""(?i)(password|passwd|secret|token|api_?key)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9+/_=.-]{8,256})"""
+PATTERN = r"""(?i)(password|passwd|secret|token|api_?key)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9+/_=.-]{8,})"""
+ANCHOR = "(?i)password|passwd|secret|token|api_?key"
 ANCHORS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _PAD = KEY.ljust(64, b"\0")
 INNER, OUTER = bytes(b ^ 0x36 for b in _PAD).hex(), bytes(b ^ 0x5C for b in _PAD).hex()
@@ -45,11 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def has_anchor(text: Column) -> Column:
-    low = C.lower_ascii(text)
-    hit = low.contains(ANCHORS[0])
-    for a in ANCHORS[1:]:
-        hit = hit | low.contains(a)
-    return hit
+    return text.rlike(ANCHOR)
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,29 +113,40 @@ def anchor_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("origin", F.explode(found).alias("anchor")).groupBy("anchor", "origin").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, text, regexp_extract(text, '{PATTERN.replace("'", "''")}', 2) AS value FROM documents),
-f AS (SELECT *, $FP AS fp FROM d WHERE value <> ''),
-m AS (SELECT *, '[REDACTED:SECRET:' || upper(substring(fp, 5, 4)) || ']' AS tag FROM f)
-SELECT doc_id, length(replace(text, value, CASE WHEN length(tag) <= length(value) THEN rpad(tag, length(value)::INT, '*') ELSE repeat('*', length(value)::INT) END)) AS chars,
-sha256(replace(text, value, CASE WHEN length(tag) <= length(value) THEN rpad(tag, length(value)::INT, '*') ELSE repeat('*', length(value)::INT) END)) AS redacted_sha256 FROM m""")
+_P = PATTERN.replace("'", "''")
+#: The text of each document with its values replaced: what lies between matches, and each match with a marker for its value.
+REDACTED_SQL = f"""d AS (SELECT doc_id, string_split_regex(text, '{_P}') AS parts, regexp_extract_all(text, '{_P}', 0) AS m, regexp_extract_all(text, '{_P}', 2) AS v FROM documents WHERE regexp_matches(text, '{_P}')),
+e AS (SELECT doc_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS part, m, v FROM d),
+f AS (SELECT doc_id, i, part, m[i] AS whole, v[i] AS value FROM e),
+g AS (SELECT *, '[REDACTED:SECRET:' || upper(substring($FP, 5, 4)) || ']' AS tag FROM f),
+r AS (SELECT doc_id, count(value) AS found, string_agg(part || coalesce(left(whole, length(whole) - length(value)) || CASE WHEN length(tag) <= length(value) THEN rpad(tag, length(value)::INT, '*') ELSE repeat('*', length(value)::INT) END, ''), '' ORDER BY i) AS redacted FROM g GROUP BY doc_id)"""
+
+
+@query(f"WITH {REDACTED_SQL} SELECT doc_id, found, length(redacted) AS chars, sha256(redacted) AS redacted_sha256 FROM r")
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with every copy of their first value replaced at the same length."""
+    """Documents with all keyed values replaced at the same length."""
     out = redacted(spark, sf_dir)
-    return out.select("doc_id", F.length("redacted").cast("bigint").alias("chars"), F.sha2(F.col("redacted").cast("binary"), 256).alias("redacted_sha256"))
+    return out.select("doc_id", "found", F.length("redacted").cast("bigint").alias("chars"), F.sha2(F.col("redacted").cast("binary"), 256).alias("redacted_sha256"))
 
 
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(has_anchor(F.col("text")))
-    first = fingerprinted(docs.select("doc_id", "text", F.regexp_extract("text", PATTERN, 2).alias("value")).where("value <> ''"))
-    new = C.replacement(F.length("value"), F.lit(KIND), F.col("fingerprint"))
-    return first.withColumn("redacted", F.replace("text", "value", new))
+    """doc_id, found and redacted: the text put together again from what lies between matches and the matches, of which each
+    ends in its value."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(ANCHOR)).where(F.col("text").rlike(PATTERN))
+    both = docs.select("doc_id", F.split("text", PATTERN, -1).alias("parts"), F.arrays_zip(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("whole"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(2)).alias("value")).alias("matches"))
+
+    def told(part: Column, match: Column) -> Column:
+        size = F.length(match["value"])
+        new = C.replacement(size, F.lit(KIND), C.hmac_sha256(KEY, KIND, match["value"]))
+        return F.concat(part, F.coalesce(F.concat(F.left(match["whole"], F.length(match["whole"]) - size), new), F.lit("")))
 
+    return both.select("doc_id", F.size("matches").cast("bigint").alias("found"), F.array_join(F.zip_with("parts", "matches", told), "").alias("redacted"))
 
-@query(f"""WITH d AS (SELECT doc_id, text, regexp_extract(text, '{PATTERN.replace("'", "''")}', 2) AS value FROM documents)
-SELECT count(*) AS docs, 0::BIGINT AS remaining, true AS is_verified_clean FROM d WHERE value <> ''""")
+
+@query(f"WITH {REDACTED_SQL} SELECT doc_id, found, len(regexp_extract_all(redacted, '{_P}', 2)) AS remaining, len(regexp_extract_all(redacted, '{_P}', 2)) = 0 AS is_verified_clean FROM r")
 def verify_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents redacted, and copies of their values that a fresh search still finds."""
-    left = redacted(spark, sf_dir).agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(C.occurrences(F.col("redacted"), F.col("value"))), F.lit(0)).cast("bigint").alias("remaining"))
+    """Redacted documents, searched afresh with the same pattern."""
+    left = redacted(spark, sf_dir).select("doc_id", "found", F.size(F.regexp_extract_all("redacted", F.lit(PATTERN), F.lit(2))).cast("bigint").alias("remaining"))
     return left.withColumn("is_verified_clean", F.col("remaining") == 0)
 
 
@@ -304,20 +312,21 @@ def copies_by_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.by_store(fingerprinted(hits(spark, sf_dir)).withColumnsRenamed({"source": "adapter", "lang": "store"}))
 
 
-_TOKENS = [(1, '{"exp":1700000000}'), (2, '{"exp":4102444800}'), (3, '{"sub":"x"}'), (4, '{"exp":"soon"}'), (5, "no json")]
-
-
-def jwt_of(payload: str) -> str:
-    import base64
-
-    part = lambda s: base64.urlsafe_b64encode(s.encode()).decode().rstrip("=")
-    return f"{part('{}')}.{part(payload)}.c2ln"
+def base64url(text: Column) -> Column:
+    return F.translate(F.base64(F.encode(text, "utf-8")), "+/=\n", "-_")
 
 
-@query("SELECT * FROM (VALUES (1, 1700000000.0::DOUBLE, true), (2, 4102444800.0::DOUBLE, false), (3, NULL, false), (4, NULL, false), (5, NULL, false)) t(id, expires, expired)")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN at::DOUBLE WHEN 1 THEN at + 0.5::DOUBLE END AS expires, CASE event_id % 4 WHEN 0 THEN at < m WHEN 1 THEN at + 0.5 < m ELSE false END AS expired
+FROM (SELECT event_id, epoch_us(ts) // 1000000 AS at FROM events), (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2000000 AS m FROM events)""")
 def jwt_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, jwt_of(p)) for i, p in _TOKENS], "id int, token string")
-    return rows.select("id", C.jwt_expiry(F.col("token")).alias("expires"), C.jwt_expired(F.col("token"), F.lit(1800000000.0)).alias("expired"))
+    """A token for each event whose claims tell its time as an expiry, in four forms; expired before the middle of all times."""
+    events = table(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    middle = events.agg(F.expr("(min(micros) + max(micros)) div 2000000").alias("m"))
+    at, form = F.expr("micros div 1000000").cast("string"), F.col("event_id") % 4
+    claims = F.when(form == 0, F.concat(F.lit('{"exp":'), at, F.lit("}"))).when(form == 1, F.concat(F.lit('{"sub":"ü","exp":'), at, F.lit(".5}"))).when(form == 2, F.lit('{"exp":"soon"}')).otherwise(F.lit("no json"))
+    token = F.concat_ws(".", base64url(F.lit('{"alg":"none"}')), base64url(claims), F.lit("c2ln"))
+    rows = events.select("event_id", token.alias("token")).join(F.broadcast(middle))  # a single row
+    return rows.select("event_id", C.jwt_expiry(F.col("token")).alias("expires"), C.jwt_expired(F.col("token"), F.col("m")).alias("expired"))
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import zlib
@@ -63,25 +64,28 @@ def valid_checksum(token: str) -> bool:
     return base62(zlib.crc32(token[4:34].encode())) == token[-6:]
 
 
+_KEY_WORD = re.compile(f"BEGIN ({'|'.join(formats.KEY_TYPES)})")
+
+
+def ends_shown(n: int, shown: tuple[int, int]) -> tuple[int, int]:
+    """Characters of a value of ``n`` that its mask shows at its beginning and end."""
+    wish, share = (formats.SHORT_SHOWN, formats.SHORT_SHARE) if n < formats.SHORT else (shown, formats.LONG_SHARE)
+    left = min(n // share, formats.MOST_SHOWN)
+    head = min(wish[0], left)
+    return head, min(wish[1], left - head)
+
+
 def mask(secret: str, kind: str, shown: tuple[int, int]) -> str:
-    """What may be shown of a secret: a third of it at most, and never over 12 characters."""
+    """What may be shown of a secret, by the tables of ``formats``."""
     if kind == "privateKey":
-        types = {"BEGIN RSA": "RSA", "BEGIN EC": "EC", "BEGIN DSA": "DSA", "BEGIN OPENSSH": "OpenSSH", "BEGIN PGP": "PGP", "BEGIN ENCRYPTED": "encrypted PKCS#8"}
-        return "Private key · " + next((t for s, t in types.items() if s in secret), "PKCS#8")
+        word = _KEY_WORD.search(secret)
+        return formats.KEY_MASK + (formats.KEY_TYPES[word[1]] if word else formats.OTHER_KEY)
     if kind == "databaseURL":
-        scheme, cut, rest = secret.partition("://")
-        user, at, host = rest.partition("@")
-        if not cut or not at:
-            return secret[:12] + "••••"
-        host, slash, _ = host.partition("/")
-        return f"{scheme}://{user.partition(':')[0]}:••••@{host}" + ("/…" if slash else "")
-    n = len(secret)
-    budget = min(12, n // 3)
-    prefix = min(shown[0], budget)
-    suffix = min(shown[1], budget - prefix)
-    if n < 12:
-        prefix, suffix = 0, min(2, n // 4)
-    return secret[:prefix] + "•" * max(4, min(8, n - prefix - suffix)) + secret[n - suffix :]
+        told, users = re.subn(formats.URL_USER, rf"\1:{formats.BULLETS}@", re.sub(formats.URL_PATH, r"\1/…", secret))
+        return told if users else secret[: formats.URL_SHOWN] + formats.BULLETS
+    head, tail = ends_shown(len(secret), shown)
+    hidden = sorted((formats.LEAST_BULLETS, len(secret) - head - tail, formats.MOST_BULLETS))[1]
+    return secret[:head] + formats.BULLETS[0] * hidden + secret[len(secret) - tail :]
 
 
 def canonical(secret: str, form: str) -> str:
@@ -182,7 +186,7 @@ class Scanner:
 
 
 def worth(value: str) -> bool:
-    """A value found only by its key word must look like one: more than one class of characters and 3 bits of entropy, and no path in code."""
+    """A value found only by its key word must look like one: two classes of characters and 2.5 bits of entropy, and no path in code."""
     classes = sum(any(t(c) for c in value) for t in (str.isdigit, str.isupper, str.islower, lambda c: not c.isalnum()))
     if re.fullmatch(r"[A-Za-z_]+(?:[.:/-][A-Za-z_]+)*", value):
         return False
@@ -190,20 +194,18 @@ def worth(value: str) -> bool:
 
 
 def settled(found: list[Match]) -> list[Match]:
-    """One finding for each start, the surest; keyed ones that overlap another rule's are left out, and so are parts of equal kind."""
-    found.sort(key=lambda m: (m.start, -LEVELS[m.confidence], m.layer == "keyed", m.start - m.end, m.rule))
-    firm = [m for m in found if m.layer != "keyed"]
+    """Findings of which no two overlap: the surest first, then the longest; keyed ones give way to any other.
+
+    Taken in that order, each is kept if it touches none that is kept already, which its neighbours by place tell.
+    """
+    starts: list[int] = []
     kept: list[Match] = []
-    for m in found:
-        if kept and kept[-1].start == m.start:
-            continue
-        if m.layer == "keyed" and any(f.start < m.end and m.start < f.end for f in firm):
-            continue
-        if any(k.start < m.end and m.start < k.end and (LEVELS[k.confidence], k.end - k.start) >= (LEVELS[m.confidence], m.end - m.start) for k in kept[-4:]):
+    for m in sorted(found, key=lambda m: (m.layer == "keyed", -LEVELS[m.confidence], m.start - m.end, m.start, m.rule)):
+        at = bisect.bisect_left(starts, m.end)
+        if at and kept[at - 1].end > m.start:
             continue
-        while kept and kept[-1].start < m.end and m.start < kept[-1].end and LEVELS[kept[-1].confidence] < LEVELS[m.confidence]:
-            kept.pop()
-        kept.append(m)
+        starts.insert(at, m.start)
+        kept.insert(at, m)
     return kept
 
 

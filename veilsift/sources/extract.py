@@ -232,6 +232,20 @@ def cell_plan(adapter: str, store: str, tables: dict[str, list[tuple[str, str]]]
     return plan, gaps
 
 
+def schema_is_known(path: str, adapter: str, store: str) -> bool:
+    """Whether a database has a table that its store is known for; only such databases are ever written."""
+    if adapter == "vscode-chat":
+        return True  # key-value tables alone are read there
+    try:
+        db, _ = open_database(path)
+        try:
+            return any(t in CELL_COLUMNS.get(store, {}) for t in signature(db))
+        finally:
+            db.close()
+    except sqlite3.Error:
+        return False
+
+
 def cells(db: sqlite3.Connection, adapter: str, table: str, column: str, keys: tuple[str, ...] = CHAT_KEYS) -> Iterator[tuple[int, str | bytes]]:
     """rowid and value of the cells that hold text or bytes; of editors' item tables only chats, chosen in the database."""
     sql = f"SELECT rowid AS __rowid, {quoted(column)} AS __cell FROM {quoted(table)} WHERE {quoted(column)} IS NOT NULL"
