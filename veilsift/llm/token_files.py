@@ -81,25 +81,26 @@ class ChunkEncoder:
         order[where] = len(texts) + np.arange(len(where))
         return pa.concat_arrays([cut, careful]).take(pa.array(order))
 
-    def fresh(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks, each with a space before it.
+    def fresh(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, each with a space before it, one after another, and the number of ids of each.
 
         Plain chunks go to the library many to a text: a token that begins with a space begins a chunk, as no plain
         chunk holds another space.
         """
-        plain = [x for x in chunks if x and " " not in x]
-        found: dict[str, bytes] = {}
-        for run in (plain[i : i + 2000] for i in range(0, len(plain), 2000)):
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(run)], add_special_tokens=False)[0].ids, self.kind)
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) == len(run):
-                raw, size = ids.tobytes(), ids.itemsize
-                ends = (np.r_[starts[1:], len(ids)] * size).tolist()
-                found.update(zip(run, [raw[i:j] for i, j in zip((starts * size).tolist(), ends, strict=True)], strict=True))
-        rest = [x for x in chunks if x not in found]
-        for x, got in zip(rest, self.tokenizer.encode_batch_fast([" " + x for x in rest], add_special_tokens=False), strict=True):
-            found[x] = np.array(got.ids, self.kind).tobytes()
-        return found
+        parts, sizes = [], []
+        for run in (chunks[i : i + 4000] for i in range(0, len(chunks), 4000)):
+            text = " ".join(run)
+            if text.count(" ") == len(run) - 1 and "" not in run:
+                ids = np.array(self.tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.kind)
+                starts = np.flatnonzero(self.spaced[ids])
+                if len(starts) == len(run):
+                    parts.append(ids)
+                    sizes.append(np.diff(np.r_[starts, len(ids)]))
+                    continue
+            each = [got.ids for got in self.tokenizer.encode_batch_fast([" " + x for x in run], add_special_tokens=False)]
+            parts.append(np.array([i for ids in each for i in ids], self.kind))
+            sizes.append(np.array([len(ids) for ids in each], np.int64))
+        return np.concatenate([np.zeros(0, self.kind), *parts]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, each followed by ``end`` if given, and the number of ids of each."""
@@ -109,31 +110,44 @@ class ChunkEncoder:
         codes = coded.indices.to_numpy().astype(np.int64)
         later = np.ones(len(codes), bool)
         later[offsets[:-1]] = False
-        used = np.unique(codes[later])  # chunks that follow a space
+        times = np.bincount(codes[later], minlength=len(coded.dictionary))  # of chunks that follow a space
+        used = np.flatnonzero(times)
         words = coded.dictionary.take(pa.array(used)).to_pylist()
         heads = coded.dictionary.take(pa.array(codes[offsets[:-1]])).to_pylist()
-        new = [x for x in words if x not in self.known]
-        if len(self.known) + len(new) > KEPT:
-            self.known = {x: self.known[x] for x in words if x in self.known}  # those in use stay
-        fresh = self.fresh(new)
-        entries = [self.known[x] if x in self.known else fresh[x] for x in words]
-        self.known.update((x, fresh[x]) for x in new[: max(0, KEPT - len(self.known))] if len(x) <= KEPT_CHARS)
         distinct = list(dict.fromkeys(heads))
-        first = {x: np.array(got.ids, self.kind).tobytes() for x, got in zip(distinct, self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False), strict=True)}
-        entries += [first[x] for x in heads] + [b"" if end is None else np.array([end], self.kind).tobytes()]
+        first = {x: np.array(got.ids, self.kind) for x, got in zip(distinct, self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False), strict=True)}
+        held = list(map(self.known.get, words))
+        new = [i for i, x in enumerate(held) if x is None]
+        fresh, sizes = self.fresh([words[i] for i in new])
+        # All entries lie in one array: known chunks, fresh ones, heads, the end; places and lengths by entry.
+        old = [i for i, x in enumerate(held) if x is not None]
+        raw = [held[i] for i in old]
+        tails = [first[x] for x in heads] + [np.zeros(0, self.kind) if end is None else np.array([end], self.kind)]
+        blob = np.concatenate([np.frombuffer(b"".join(raw), self.kind), fresh, *tails])
+        order = np.r_[np.array(old, np.int64), np.array(new, np.int64), len(words) + np.arange(len(tails))]
+        lengths = np.r_[np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(self.kind).itemsize, sizes, np.fromiter(map(len, tails), np.int64, len(tails))]
+        size, start = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        size[order], start[order] = lengths, np.cumsum(lengths) - lengths
+        self.remember(words, new, times[used], start, size, blob)
         places = np.zeros(len(coded.dictionary), np.int64)
         places[used] = np.arange(len(used))
         codes = places[codes]
         codes[offsets[:-1]] = len(words) + np.arange(len(heads))
-        codes = np.insert(codes, offsets[1:], len(entries) - 1)
-        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // np.dtype(self.kind).itemsize
-        blob, starts = np.frombuffer(b"".join(entries), self.kind), np.cumsum(sizes) - sizes
-        each = sizes[codes]
+        codes = np.insert(codes, offsets[1:], len(order) - 1)
+        each = size[codes]
         before = np.cumsum(each) - each
-        ids = blob[np.repeat(starts[codes] - before, each) + np.arange(int(each.sum()))]
+        ids = blob[np.repeat(start[codes] - before, each) + np.arange(int(each.sum()))]
         counts = np.add.reduceat(each, offsets[:-1] + np.arange(len(heads))) if len(heads) else np.zeros(0, np.int64)
         return ids, counts
 
+    def remember(self, words: list[str], new: list[int], times: np.ndarray, start: np.ndarray, size: np.ndarray, blob: np.ndarray) -> None:
+        """Keeps short chunks that occur more than once, as long as there is room; the memory begins anew when it is full."""
+        if len(self.known) >= KEPT:
+            self.known = {}
+        for i in new:
+            if times[i] > 1 and len(words[i]) <= KEPT_CHARS and len(self.known) < KEPT:
+                self.known[words[i]] = blob[start[i] : start[i] + size[i]].tobytes()
+
 
 def layout(kind: str, length: int) -> pa.Schema:
     return pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(np.dtype(kind)), length)), ("mask", pa.list_(pa.bool_(), length))])
