@@ -1,7 +1,10 @@
 import hashlib
+import random
 import re
+from collections import defaultdict
 
 from tests.llm import cases
+from veilsift.llm import common, ownership
 from veilsift.llm.ownership import secret_scan
 
 SPECS = [
@@ -45,5 +48,35 @@ def test_widely_copied_values_are_told_from_those_of_one_owner(spark):
     assert all("owned" not in out[20 + i]["spans"] for i in range(4))
 
 
+def test_verdicts_are_those_of_plain_counts(spark, monkeypatch):
+    """All columns against dictionaries over the whole corpus, with one hot value, nulls and repeated rows."""
+    rng = random.Random(12)
+    values = [f"token = '{''.join(rng.choices('abcdefXYZ0123456789', k=14))}'" for _ in range(150)] + ["".join(rng.choices("abcXYZ0189_-", k=36)) for _ in range(150)]
+    data = []
+    for i in range(400):
+        source, lang = rng.choice(["s1", "s1", "s1", "s2", "s3", None, "s1/en"]), rng.choice(["en", "de", "fr", "es", None])
+        data.append((i, " and ".join([values[0] if i % 3 == 0 else "", *rng.sample(values, rng.randint(0, 3))]), lang, source, 1))
+    data += data[:20]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    owners, repositories, spans = defaultdict(set), defaultdict(set), []
+    for _, text, lang, source, _ in data:
+        base = ownership.base_spans(text)
+        spans.append(sorted(base + ownership.further_spans(text, base)))
+        for *_, v in spans[-1]:
+            owners[v].add(source)
+            repositories[v].add((source, lang))
+    copied = {v: len(owners[v]) > 2 or len(repositories[v]) > 3 for v in owners}
+    want = []
+    for (i, *_), found in zip(data, spans, strict=True):
+        kept = [f for f in found if f[1] < 3 or ownership.entropy(f[3]) >= 3 and len(owners[f[3]]) == 1 and not copied[f[3]]]
+        live, many = sum(ownership.entropy(f[3]) >= 3 and not copied[f[3]] for f in kept), sum(copied[f[3]] for f in kept)
+        want.append((i, ",".join(f"{ownership.KINDS[k]}:{a}:{b}" for a, k, b, _ in kept), live, many, max((len(owners[f[3]]) for f in kept), default=0), max((len(repositories[f[3]]) for f in kept), default=0)))
+    assert any(copied.values()) and not all(copied.values())
+    for hot in (10_000, 5):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        got = secret_scan(docs).collect()
+        assert sorted((r["doc_id"], r["spans"], r["n_live"], r["n_copied"], r["most_owners"], r["most_repositories"]) for r in got) == sorted(want)
+
+
 def test_empty_table(spark):
     assert secret_scan(cases.frame(spark, [])).count() == 0

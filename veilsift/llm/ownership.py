@@ -2,13 +2,13 @@
 
 Whole texts are searched for assignments, access keys and long hexadecimal strings, and for further random-looking
 strings that alone say little. The digests of all candidates are counted over distinct repositories and owners: a value
-that more than ``MOST_OWNERS`` owners hold is a widely copied example; one that a single owner, or few, hold and whose
-characters look random is live-looking. The further strings become findings of kind ``owned`` only if live-looking and
-held by one owner; the base findings stay whatever the counts say.
+that more than ``MOST_OWNERS`` owners or more than ``MOST_REPOSITORIES`` repositories hold, be they one owner's, is a widely
+copied example; another whose characters look random is live-looking. The further strings become findings of kind
+``owned`` only if live-looking and held by one owner; the base findings stay whatever the counts say.
 
 Values are only kept as digests. Edge cases: a null text is empty; a null repository or owner counts as one of its own;
 repeated rows count once for a repository and have a row each in the result; an empty table gives an empty result; other
-columns are ignored. Offsets are code points, ends exclusive.
+columns are ignored, whatever their names. Texts of any length are searched whole. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilsift.llm.common import mapped, settled
+from veilsift.llm.common import looked_up, mapped, settled
 
 KINDS = ("assign", "access", "hex", "owned")
-MOST_OWNERS, LEAST_ENTROPY = 2, 3.0
+MOST_OWNERS, MOST_REPOSITORIES, LEAST_ENTROPY = 2, 3, 3.0
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -87,25 +87,26 @@ def ownership(found: DataFrame) -> DataFrame:
     pairs = found.where(F.size("spans") > 0).select("repository", "owner", F.explode("spans.value").alias("value")).distinct()
     by_owner = pairs.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"))
     each = by_owner.groupBy("value").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"))
-    return each.withColumn("copied", F.col("owners") > MOST_OWNERS)
+    return each.withColumn("copied", (F.col("owners") > MOST_OWNERS) | (F.col("repositories") > MOST_REPOSITORIES))
 
 
 def secret_scan(docs: DataFrame, repository: Column | None = None, owner: Column | None = None) -> DataFrame:
-    """One row per document: counts of the base findings, digest of their places, all spans, and how many are live-looking or copied.
+    """One row per document: counts of the base findings, digest of their places, all spans, how many are live-looking or
+    copied, and the most owners and repositories that one of its values has.
 
     ``repository`` and ``owner``: columns of ``docs``; a repository is a source's documents of a language and an owner
     a source, unless given.
     """
     owner = F.col("source") if owner is None else owner
-    repository = F.concat_ws("/", F.col("source"), F.col("lang")) if repository is None else repository
+    repository = F.to_json(F.array("source", "lang"), {"ignoreNullFields": "false"}) if repository is None else repository
     found = candidates(docs, repository, owner)
-    verdicts = ownership(found)
+    verdicts = settled(ownership(found), "verdicts")
     # Rows with candidates are few; each distinct one is judged once and looked up by its key.
     keyed = found.withColumn("row_key", F.when(F.size("spans") > 0, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(F.col("spans").cast("string")).cast("string"))))
-    each = keyed.where("row_key is not null").dropDuplicates(["row_key"]).select("row_key", F.explode("spans").alias("s")).select("row_key", "s.*")
-    judged = each.join(verdicts, "value").where((F.col("kind") < 3) | (F.col("random") & (F.col("owners") == 1)))
+    each = settled(keyed.where("row_key is not null").dropDuplicates(["row_key"]).select("row_key", F.explode("spans").alias("s")).select("row_key", "s.*"), "spans")
+    judged = looked_up(each, verdicts, "value").where((F.col("kind") < 3) | (F.col("random") & (F.col("owners") == 1) & ~F.col("copied")))
     live = F.col("random") & ~F.col("copied")
-    told = judged.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("kept"), F.sum(live.cast("bigint")).alias("n_live"), F.sum(F.col("copied").cast("bigint")).alias("n_copied"))
+    told = judged.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("kept"), F.sum(live.cast("bigint")).alias("n_live"), F.sum(F.col("copied").cast("bigint")).alias("n_copied"), F.max("owners").alias("most_owners"), F.max("repositories").alias("most_repositories"))
     rows = keyed.select("doc_id", "row_key")  # those without candidates have no key and stay where they are
     rows = rows.where("row_key is not null").join(told, "row_key", "left").unionByName(rows.where("row_key is null"), allowMissingColumns=True)
     kept = F.coalesce("kept", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
@@ -128,4 +129,6 @@ def secret_scan(docs: DataFrame, repository: Column | None = None, owner: Column
         line(F.col("kept")).alias("spans"),
         F.coalesce("n_live", F.lit(0).cast("bigint")).alias("n_live"),
         F.coalesce("n_copied", F.lit(0).cast("bigint")).alias("n_copied"),
+        F.coalesce("most_owners", F.lit(0).cast("bigint")).alias("most_owners"),
+        F.coalesce("most_repositories", F.lit(0).cast("bigint")).alias("most_repositories"),
     )
