@@ -33,7 +33,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_grams_of_slices_are_those_of_the_whole(monkeypatch):
-    text = bytes(random.Random(1).choices(range(32, 120), k=5000))
+    text = "".join(random.Random(1).choices("abcdefghij étü日本🙂", k=5000))
     whole = np.sort(np.concatenate(list(T.hashed_grams(text))))
     monkeypatch.setattr(T, "SLICE", 97)
     assert np.array_equal(np.sort(np.concatenate(list(T.hashed_grams(text)))), whole)
@@ -58,3 +58,29 @@ def test_rejected_documents_go_and_clean_ones_stay(spark):
     kept = {r["doc_id"] for r in T.untoxic(cases.plain(spark, docs), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()}
     clean = {i for i, _, t in labels if not t}
     assert len(kept & clean) > 0.98 * len(clean) and len(kept - clean) < 0.05 * len(docs)
+
+
+def plain_grams(text):
+    """Buckets of a text's n-grams, character by character."""
+    text, found = text.lower(), set()
+    for n in T.ORDERS:
+        for i in range(len(text) - n + 1):
+            h = ord(text[i]) + 1
+            for c in text[i + 1 : i + n]:
+                h = (h * 2654435761 + ord(c)) % (1 << 32)
+            found.add(((h ^ n * 0x9E3779B1 % (1 << 32)) * 0x85EBCA6B % (1 << 32)) >> (32 - T.BITS))
+    return found
+
+
+def test_scores_are_those_of_a_plain_model(spark):
+    docs, labels = corpus(600)
+    docs += [(10_001, "ÉTÉ Vylest 日本 zugrotten"), (10_002, None), (10_003, ""), (10_004, "Zugrotten " * 200_000)]
+    table = cases.plain(spark, docs)
+    model = T.learn(table, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    assert len(weight) > 100
+    for r in T.scored(table, model).collect():
+        text = dict(docs)[r["doc_id"]] or ""
+        known = [weight[b] for b in plain_grams(text[:5000]) if b in weight]
+        want = 1 / (1 + np.exp(-(sum(known) / np.sqrt(max(1, len(known))) + model.intercept)))
+        assert abs(r["score"] - want) < 1e-4, r["doc_id"]

@@ -1,9 +1,10 @@
 """Toxicity by a character n-gram linear classifier on naive Bayes features.
 
-Features are the hashed byte n-grams of the lower-cased text, present or not, scaled by their smoothed naive Bayes
-log-count ratio; a logistic regression is trained over them. N-grams whose ratio is nearer to zero than ``LEAST_RATIO``
-carry no feature. The ratios are counted
-by the tasks and only buckets that tell come to the driver. Scoring reads whole texts in slices, so its memory is bounded.
+Features are the hashed n-grams of the lower-cased text's characters (code points), present or not, scaled by their
+smoothed naive Bayes log-count ratio; a logistic regression is trained over them. N-grams whose ratio is nearer to zero
+than ``LEAST_RATIO``, or that fewer than ``LEAST_DOCS`` documents of the sample hold, carry no feature. The ratios are
+counted by the tasks and only buckets that tell come to the driver. Scoring reads whole texts in slices, so its memory is
+bounded.
 
 ``SAMPLE`` labelled rows at most, chosen by a hash of doc_id, and of those about ``SAMPLE_BYTES`` of text, are the bounded
 sample that the model is fitted on; the intercept is corrected for the sample's share of toxic rows. Every document is
@@ -11,7 +12,7 @@ scored.
 
 Edge cases: a null or empty text scores as the intercept alone; rows without a label, or with one other than 0 and 1,
 aren't learned from; repeated labels of one document count once, toxic if any is; without two classes the score is the
-share of toxic labels, smoothed; an empty table gives an empty result; other columns are ignored.
+share of toxic labels, smoothed; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,24 +33,24 @@ SLICE = 1 << 20
 THRESHOLD = 0.3
 
 
-def hashed_grams(text: bytes) -> Iterator[np.ndarray]:
+def hashed_grams(text: str) -> Iterator[np.ndarray]:
     """Bucket numbers of the n-grams of a text, slice by slice; slices overlap so that none is lost."""
     text, longest = text.lower(), max(ORDERS)
     for lo in range(0, max(1, len(text)), SLICE):
-        octets = np.frombuffer(text[lo : lo + SLICE + longest - 1], np.uint8).astype(np.uint32)
-        rolled = octets + np.uint32(1)
+        codes = np.frombuffer(text[lo : lo + SLICE + longest - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+        rolled = codes + np.uint32(1)
         for n in range(2, longest + 1):
-            if len(octets) < n:
+            if len(codes) < n:
                 break
-            rolled = rolled[: len(octets) - n + 1] * np.uint32(2654435761) + octets[n - 1 :]
+            rolled = rolled[: len(codes) - n + 1] * np.uint32(2654435761) + codes[n - 1 :]
             if n in ORDERS:
                 own = rolled if lo + SLICE >= len(text) else rolled[:SLICE]
                 yield ((own ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)
 
 
-def present(text: bytes | None, chosen: np.ndarray | None = None) -> np.ndarray:
+def present(text: str | None, chosen: np.ndarray | None = None) -> np.ndarray:
     """Distinct buckets of a text, of the chosen ones only if given."""
-    parts = [g if chosen is None else g[chosen[g]] for g in hashed_grams(text or b"")]
+    parts = [g if chosen is None else g[chosen[g]] for g in hashed_grams(text or "")]
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint32)
 
 
@@ -66,7 +67,7 @@ class Model:
         chosen[self.buckets], dense[self.buckets] = True, self.weights
         return chosen, dense
 
-    def scores(self, texts: list[bytes | None]) -> np.ndarray:
+    def scores(self, texts: list[str | None]) -> np.ndarray:
         chosen, dense = self.table()
         return np.array([score_of(present(t, chosen), dense, self.intercept) for t in texts])
 
@@ -143,7 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sa
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((2, 1 << BITS), np.int32)
         for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 held[toxic, present(text.as_py())] += 1
         at = np.flatnonzero(held.any(axis=0))
         for lo in range(0, len(at), 100_000):
@@ -162,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sa
         chosen, place = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.int32)
         chosen[shared.value], place[shared.value] = True, np.arange(len(shared.value))
         for batch in batches:
-            found = [place[present(t.as_py(), chosen)].astype("<i4").tobytes() for t in batch.column(2).cast(pa.binary())]
+            found = [place[present(t.as_py(), chosen)].astype("<i4").tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "toxic", "found"])
 
     got = fitted.transform(mapped, pick, "doc_id bigint, toxic int, found binary").toArrow().sort_by("doc_id")  # at most ``sample`` rows
@@ -182,7 +183,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen, dense = shared.value.table()
         for batch in batches:
-            got = [score_of(present(t.as_py(), chosen), dense, shared.value.intercept) for t in batch.column(2).cast(pa.binary())]
+            got = [score_of(present(t.as_py(), chosen), dense, shared.value.intercept) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(got, pa.float64())], ["doc_id", "text_key", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint"), text_key().alias("text_key"), "text").transform(mapped, run, SCORED)
