@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter
 
+import xxhash
+
 from tests.llm import cases
 from veilsift.llm.sharding import BUCKETS, Ring, assign_shards, capacities, ring_plan
 
@@ -33,6 +35,32 @@ def test_plan_equals_the_walk_of_single_keys():
         assert got == walk([a for _, a in keys], 16, factor)
 
 
+def unsigned(value, seed=42):
+    """xxhash64 of a string, or of a long or an integer of so many bytes."""
+    return xxhash.xxh64_intdigest(value, seed)
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_rows_are_placed_where_the_walk_of_single_keys_places_them(spark):
+    """Arrival, arc and walk of each row, key by key, against the plan over cells that Spark looks up."""
+    data = [(i * 37 % 5000, None if i % 11 == 0 else "téxt " * (i % 5)) for i in range(700)] + [(None, "a"), (None, "b"), (7, "seven"), (7, "again")]
+    for shards, factor in ((16, 1.0), (5, 1.2)):
+        ring, rows = Ring(shards), []
+        for key, text in data:
+            raw, name = (text or "").encode(), "\0null" if key is None else str(key)
+            place = unsigned(name.encode()) >> 1
+            h = unsigned(b"arrival", unsigned(name.encode()))
+            h = unsigned(len(raw).to_bytes(4, "little"), unsigned(zlib.crc32(raw).to_bytes(8, "little"), h))
+            rows.append((signed(h) % BUCKETS, ring.arc(place), place, key is not None, key or 0, zlib.crc32(raw), len(raw) + 1))
+        rows.sort()
+        want = [(None if not r[3] else r[4], r[6], r[5], s, slot) for r, (s, slot) in zip(rows, walk([r[1] for r in rows], shards, factor), strict=True)]
+        got = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in assign_shards(cases.plain(spark, data), shards, factor).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_counts_differ_by_one_and_slots_have_no_gaps(spark):
     docs = cases.plain(spark, [(i, "x" * (i % 9) if i % 10 else None) for i in range(1003)])
     rows = assign_shards(docs).collect()

@@ -10,7 +10,8 @@ and a key's rank in its cell tells its shard and slot.
 do so too (law ``rows``); a larger one moves fewer keys off their first shard.
 
 Edge cases: a null key is hashed as a key of its own; a null text has size 1 and crc 0; repeated rows get slots of their
-own; an empty table gives an empty result; other columns are ignored.
+own, and rows that repeat a key arrive in all buckets by their texts; an empty table gives an empty result; other columns
+are ignored, whatever their names. Texts are measured whole.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, load_factor: float = 1.0, k
         F.col(key),
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
-        F.pmod(F.xxhash64(name, F.lit("arrival")), F.lit(BUCKETS)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64(name, F.lit("arrival"), F.crc32(F.encode(text, "utf-8")), F.octet_length(text)), F.lit(BUCKETS)).cast("int").alias("bucket"),
         place.alias("place"),
     )
     # The arc: how many points lie before the place, by a table of the points for each of the ring's 4096 sectors.
