@@ -67,6 +67,12 @@ def test_digests_against_a_plain_version(spark):
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_long_conversations_are_handed_on_by_size(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"{c}/{t} " * 40_000) for c in range(12) for t in range(3)]
+    got = {r["conv_id"]: r for r in digests(format_conversations(spark.createDataFrame([(*r, "f", "s") for r in rows], SCHEMA).coalesce(1))).collect()}
+    assert {c: (r["n_turns"], r["loss_chars"]) for c, r in got.items()} == {c: (3, len(f"{c}/1 ") * 40_000) for c in range(12)}
+
+
 def test_spans_mark_assistant_texts(spark):
     out = compiled(TEMPLATE)({"messages": [{"role": "user", "text": "q"}, {"role": "assistant", "text": "a<b"}]})
     assert [unescaped(out.text()[a:b]) for a, b in out.spans] == ["a<b"]

@@ -17,7 +17,8 @@ text can't end a turn or begin one.
 
 Edge cases: a null text counts as empty, a null role as ``""``; rows of equal turn are ordered by role, then text; rows
 with a null turn come first; a null conv_id is a conversation; repeated rows are turns of their own; an empty table
-gives an empty result. One conversation at a time is in memory; a conversation of any number of turns streams through.
+gives an empty result; other columns are ignored, whatever their names. A conversation is one value and so is held by one
+task, with a batch of finished ones of bounded size; its formatted text may have 2 GB at most, as any string of a column.
 """
 
 from __future__ import annotations
@@ -447,6 +448,8 @@ TEMPLATE = (
     "{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}"
     "{{ '<|im_end|>' ~ '\\n' }}{% endfor %}"
 )
+#: Characters of formatted conversations after which a batch is handed on.
+BATCH_CHARS = 4_000_000
 FORMATTED = "conv_id bigint, formatted string, starts array<bigint>, ends array<bigint>"
 
 
@@ -457,12 +460,14 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal render
         render = render or compiled(template)
-        now, messages, done = object(), [], []
+        now, messages, done, held = object(), [], [], 0
 
         def close() -> None:
+            nonlocal held
             if messages:
                 out = render({"messages": messages})
                 done.append((now, out.text(), [a for a, _ in out.spans], [b for _, b in out.spans]))
+                held += len(done[-1][1])
 
         def batch_of() -> pa.RecordBatch:
             types = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -473,9 +478,10 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
                 if conv != now:
                     close()
                     now, messages = conv, []
-                    if len(done) >= 1000:
+                    if held >= BATCH_CHARS or len(done) >= 1000:
                         yield batch_of()
                         done.clear()
+                        held = 0
                 messages.append({"role": role, "text": text})
         close()
         if done:
