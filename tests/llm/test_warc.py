@@ -68,5 +68,21 @@ def test_other_readers_can_read_the_members():
     assert payload_of(fields, body) == (4, hashlib.sha1(b"body").hexdigest())
 
 
+def test_long_urls_and_payloads_come_back_whole(spark):
+    rows = [(1, "http://x/" + "u" * 1_500_000, "short"), (2, "http://y", "".join(chr(97 + i * i % 26) for i in range(700_000))), (3, "http://z", "after")]
+    out = {r["page_id"]: r for r in resolved(read_archives(write_archives(pages(spark, rows)), size=50_000)).collect()}
+    assert {i: (out[i]["url"], out[i]["payload_digest"], out[i]["intact"]) for i in out} == {i: (u, hashlib.sha1(h.encode()).hexdigest(), True) for i, u, h in rows}
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    head = "WARC/1.0\r\nWARC-Type: {}\r\nContent-Type: {}\r\nContent-Length: {}\r\n\r\n"
+    info, page = b"software: x", b"HTTP/1.0 200 OK\r\n\r\nhello"
+    data = b"".join(b"".join(member(iter([head.format(kind, content, len(block)).encode(), block, b"\r\n\r\n"]))) for kind, content, block in [("warcinfo", "application/warc-fields", info), ("response", "application/http; msgtype=response", page)])
+    (tmp_path / "other.warc.gz").write_bytes(data)
+    listed = spark.createDataFrame([(f"file://{tmp_path}/other.warc.gz", len(data))], "path string, bytes bigint")
+    out = {r["record_type"]: (r["payload_bytes"], r["payload_digest"], r["intact"], r["record_id"]) for r in read_archives(listed).collect()}
+    assert out == {"warcinfo": (len(info), hashlib.sha1(info).hexdigest(), None, None), "response": (5, hashlib.sha1(b"hello").hexdigest(), None, None)}
+
+
 def test_empty_table(spark):
     assert resolved(read_archives(write_archives(pages(spark, [])))).count() == 0

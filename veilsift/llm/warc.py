@@ -9,7 +9,9 @@ others are revisits that refer to it.
 
 Edge cases: a null html is an empty payload; a null url is written as an empty URI; a null page_id counts as smaller
 than any other and is a record without an id header; rows that repeat the largest page_id with equal payloads are all
-responses; an empty table gives no archives and an empty result; other columns are ignored.
+responses; an empty table gives no archives and an empty result; other columns are ignored, whatever their names. URLs and
+payloads may be of any length. Records of other writers may lack an id or a payload digest (``intact`` is null then) and
+need not be HTTP (the payload is the whole block). Payloads count as equal if length and SHA-1 are.
 """
 
 from __future__ import annotations
@@ -132,10 +134,12 @@ class Inflated:
             self.end = self.at - len(self.unzip.unused_data)
         return True
 
-    def line_block(self, limit: int = 1 << 20) -> bytes:
-        """Up to the first empty line."""
-        while b"\r\n\r\n" not in self.held:
-            if len(self.held) > limit or not self.more(PROBE):
+    def line_block(self) -> bytes:
+        """Up to the first empty line; of any length, once the member is seen to begin a WARC record."""
+        looked = 0
+        while self.held.find(b"\r\n\r\n", max(0, looked - 3)) < 0:
+            looked = len(self.held)
+            if not self.more(max(PROBE, looked)):
                 raise zlib.error("no header block")
             if len(self.held) >= 5 and not self.held.startswith(b"WARC/"):
                 raise zlib.error("not a WARC record")
@@ -200,8 +204,10 @@ def records(source: BinaryIO, start: int, stop: int) -> Iterator[tuple[int, dict
 
 
 def payload_of(fields: dict[str, str], body: Inflated) -> tuple[int, str]:
-    """Length and SHA-1 of the payload behind the HTTP header of a record's block."""
+    """Length and SHA-1 of a record's payload: what follows the HTTP header if the block is one of HTTP, else the block."""
     left, head, size, sha1 = int(fields["content-length"]), b"", 0, hashlib.sha1()
+    if not fields.get("content-type", "").lower().startswith("application/http"):
+        head = None
     for piece in body.pieces(left):
         if head is not None:
             head += piece
@@ -241,9 +247,10 @@ def read_archives(archives: DataFrame, size: int = SPLIT) -> DataFrame:
                 with fs.open_input_file(inner) as source:
                     for _, fields, body in records(source, start, stop):
                         n, sha1 = payload_of(fields, body)
-                        label, again = hex_of_label(fields["warc-payload-digest"]), fields["warc-type"] == "revisit"
+                        told, again = fields.get("warc-payload-digest"), fields["warc-type"] == "revisit"
+                        label = hex_of_label(told) if told and told.lower().startswith("sha1:") else None
                         ids = [int(fields[x]) if x in fields else None for x in ("warc-x-page-id", "warc-x-refers-to-page")]
-                        rows.append((ids[0], fields["warc-record-id"], fields.get("warc-target-uri"), fields["warc-type"], None if again else n, label if again else sha1, ids[1], fields.get("warc-refers-to"), again or sha1 == label))
+                        rows.append((ids[0], fields.get("warc-record-id"), fields.get("warc-target-uri"), fields["warc-type"], None if again else n, label if again else sha1, ids[1], fields.get("warc-refers-to"), None if label is None else again or sha1 == label))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names)
 
