@@ -325,6 +325,24 @@ def test_monitor(spark, tmp_path):
     assert [r["message"] for r in monitor.state.events().collect()] == ["Slack Bot Token"]
 
 
+def test_policies_are_enforced_after_a_reconcile_and_changes_told_by_hand(spark, tmp_path):
+    home = str(tmp_path / "home")
+    path, other = fx.write(home, ".claude/history.jsonl", fx.lines({"display": "x " + fx.github()})), os.path.join(home, ".claude/paste-cache/p.txt")
+    monitor = Monitor(Engine(spark, KEY, home, {}), State(spark, str(tmp_path / "state")))
+    monitor.reconcile()
+    fx.write(home, ".claude/paste-cache/p.txt", fx.slack())
+    assert monitor.changed([other]) == 1 and monitor.changed([other]) == 0
+    assert {r["kind"] for r in monitor.state.read("secrets").collect()} == {"githubToken", "slackToken"}
+    monitor.state.set_policy(monitor.state.read("secrets").where("kind = 'githubToken'"), "alwaysRedact")
+    monitor.reconcile()
+    with open(path) as f:
+        assert fx.github() not in f.read()
+    assert {r["kind"] for r in monitor.state.read("secrets").collect()} == {"slackToken"}
+    os.remove(other)
+    monitor.changed([other])
+    assert monitor.state.read("findings").count() == 0
+
+
 def test_monitor_stream(spark, tmp_path):
     home = str(tmp_path / "home")
     fx.write(home, ".claude/history.jsonl", fx.lines({"display": "x " + fx.github()}))

@@ -62,6 +62,14 @@ class State:
         for x in [v for v in old if v.startswith("v") and v < (before or "")][: -KEPT or None]:
             self._fs.delete(self._path(f"{self.folder}/{name}/{x}"), True)  # a reader may still be at a newer one
 
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Adds rows to a table's present version as files of their own; what is there isn't read or written again."""
+        version = self.version(name)
+        if version is None:
+            self.write(name, rows)
+        else:
+            rows.select(*model.names(SCHEMAS[name])).write.mode("append").parquet(f"{self.folder}/{name}/{version}")
+
     def replace_paths(self, name: str, paths: DataFrame, rows: DataFrame) -> None:
         """Drops the rows of ``paths`` and adds ``rows``."""
         kept = self.read(name).join(paths.select("path").distinct(), "path", "left_anti")
@@ -101,7 +109,7 @@ class State:
         before = self.read("events")
         last = before.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         numbered = events.withColumn("id", F.lit(last) + 1 + F.monotonically_increasing_id()).withColumn("ts", F.current_timestamp())
-        self.write("events", before.unionByName(numbered.select(*before.columns)))
+        self.append("events", numbered.select(*before.columns))
 
     def events(self, most: int = 100) -> DataFrame:
         """The newest events first."""

@@ -316,8 +316,8 @@ def base64url(text: Column) -> Column:
     return F.translate(F.base64(F.encode(text, "utf-8")), "+/=\n", "-_")
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN at::DOUBLE WHEN 1 THEN at + 0.5::DOUBLE END AS expires, CASE event_id % 4 WHEN 0 THEN at < m WHEN 1 THEN at + 0.5 < m ELSE false END AS expired
-FROM (SELECT event_id, epoch_us(ts) // 1000000 AS at FROM events), (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2000000 AS m FROM events)""")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN sec::DOUBLE WHEN 1 THEN sec + 0.5::DOUBLE END AS expires, CASE event_id % 4 WHEN 0 THEN sec < m WHEN 1 THEN sec + 0.5 < m ELSE false END AS expired
+FROM (SELECT event_id, epoch_us(ts) // 1000000 AS sec FROM events), (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2000000 AS m FROM events)""")
 def jwt_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A token for each event whose claims tell its time as an expiry, in four forms; expired before the middle of all times."""
     events = table(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))

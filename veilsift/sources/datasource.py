@@ -7,7 +7,6 @@ filters of a query are applied by Spark (a reader that takes filters over keeps
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterator
 
@@ -62,28 +61,46 @@ class AgentHistory(DataSource):
 
 
 class ChangeReader(SimpleDataSourceStreamReader):
-    """Each offset is the state of all files seen; a batch has the artifacts that differ from the last."""
+    """An offset is the time of the newest change told and a number, however many files there are; what each file was like
+    stays in the reader's process. After a restart all files that changed at that time or later are told once more (the
+    monitor's cursors leave out what it has read), and files gone meanwhile are found when all is reconciled."""
 
     def __init__(self, options: dict) -> None:
-        self.options = options
+        self.options, self.seen = options, None
 
     def initialOffset(self) -> dict:
-        return {"seen": "{}"}
+        return {"since": 0, "round": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        before, now, rows = json.loads(start["seen"]), {}, []
+        rows, now = [], {}
         for a in artifacts_of(self.options):
-            now[a[4]] = [a[6], a[7], a[8], a[9]]
-            if before.get(a[4]) != now[a[4]]:
+            now[a[4]] = (changed_at(a[4]), *a[6:10])
+            if self.seen is None and now[a[4]][0] >= start["since"] or self.seen is not None and self.seen.get(a[4]) != now[a[4]]:
                 rows.append(a)
-        gone = [(None, None, None, None, path, "removed", None, None, None, None, None, None) for path in before if path not in now]
-        return iter([*rows, *gone]), {"seen": json.dumps(now, sort_keys=True)}
+        gone = [_removed(path) for path in self.seen or () if path not in now]
+        self.seen = now
+        if not rows and not gone:
+            return iter([]), start
+        return iter([*rows, *gone]), {"since": max([start["since"], *(x[0] for x in now.values())]), "round": start["round"] + 1}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        before, after = json.loads(start["seen"]), json.loads(end["seen"])
-        changed = {p for p, v in after.items() if before.get(p) != v}
-        rows = [a for a in artifacts_of(self.options) if a[4] in changed]
-        return iter([*rows, *[(None, None, None, None, p, "removed", None, None, None, None, None, None) for p in before if p not in after]])
+        return iter([a for a in artifacts_of(self.options) if changed_at(a[4]) >= start["since"]])
+
+
+def changed_at(path: str) -> int:
+    """When a file or its log last changed, in nanoseconds; 0 if it is gone."""
+    times = [0]
+    for p in (path, path + "-wal"):
+        try:
+            info = os.stat(p)
+        except OSError:
+            continue
+        times.append(max(info.st_mtime_ns, info.st_ctime_ns))
+    return max(times)
+
+
+def _removed(path: str) -> tuple:
+    return (None, None, None, None, path, "removed", None, None, None, None, None, None)
 
 
 class AgentChanges(DataSource):

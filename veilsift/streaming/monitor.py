@@ -57,8 +57,9 @@ class Monitor:
         self.spark, self.whole_at = engine.spark, time.monotonic()
         state.opened_with(engine.key)
 
-    def reconcile(self) -> int:
-        """Lists everything, scans what changed, forgets what is gone. Returns the number of artifacts scanned."""
+    def reconcile(self, enforce: bool = True) -> int:
+        """Lists everything, scans what changed, forgets what is gone, and then redacts what policies ask for, unless
+        ``enforce`` is false. Returns the number of artifacts scanned."""
         _, artifacts, gaps = self.engine.listed()
         artifacts = artifacts.where(F.col("tier").isin(list(self.tiers)))
         if self.excluded is not None:
@@ -70,6 +71,22 @@ class Monitor:
         n = self.absorb(relational.changed(artifacts, self.state.read("cursors")))
         self.state.write("gaps", self.state.read("gaps").where("reason.tag in ('corruptRecord', 'truncatedTail', 'oversizeRecord', 'offsetsUnreliable', 'binaryArtifact', 'unsupportedSchema')").unionByName(gaps).distinct())
         artifacts.unpersist()
+        if enforce:
+            self.auto_redact()
+        return n
+
+    def changed(self, paths: list[str]) -> int:
+        """Takes in files that the caller says have changed or gone, as a change feed would. Returns the number scanned."""
+        _, artifacts, _ = self.engine.listed()
+        told = self.spark.createDataFrame([(p,) for p in paths], "path string")
+        now = artifacts.where(F.col("tier").isin(list(self.tiers))).join(told, "path", "left_semi").select(*artifacts.columns)
+        if self.excluded is not None:
+            now = relational.outside(now, self.excluded)
+        now = now.persist()
+        self.forget(told.join(now, "path", "left_anti"))
+        n = self.absorb(relational.changed(now, self.state.read("cursors")))
+        self.merge_secrets()
+        now.unpersist()
         return n
 
     def forget(self, paths: DataFrame) -> None:
@@ -136,13 +153,13 @@ class Monitor:
 
         due = enforced(self.state.read("policies"), F.current_timestamp() if now is None else now)
         wanted = self.state.read("findings").join(due, "fingerprint", "left_semi").select(*model.names(model.FINDING))
-        if wanted.isEmpty():
+        if due.isEmpty() or wanted.isEmpty():
             return None
         outcomes = self.engine.apply(self.engine.plan(wanted))
         counts = {r["outcome"]: r["n"] for r in outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
         self.state.counted(**counts)
         self.forget(outcomes.select("path").distinct())  # what has been edited is read anew as a whole
-        self.reconcile()
+        self.reconcile(enforce=False)
         return outcomes
 
     def start(self, checkpoint: str, seconds: int = SECONDS_BETWEEN):
@@ -157,7 +174,7 @@ class Monitor:
             listed = batch.where("kind <> 'removed'")
             if self.excluded is not None:
                 listed = relational.outside(listed, self.excluded)
-            self.absorb(relational.latest(listed, ["path"], ["modified", "size"]))
+            self.absorb(relational.changed(relational.latest(listed, ["path"], ["modified", "size"]), self.state.read("cursors")))
             self.merge_secrets()
             batch.unpersist()
             if time.monotonic() - self.whole_at >= WHOLE_EVERY:  # what a change feed may have missed
