@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir); ``docs`` are the rows that its predecessor kept, and all but the last return the
 columns of documents. A stage may be run by itself over any rows of that shape.
+
+For all stages: a row is known by its doc_id and text, so missing or repeated ids do no harm and rows that repeat both are
+decided alike; texts are read whole, however long; an empty table gives an empty result; further columns stay as they are,
+whatever their names (the last stage returns its own alone).
 """
 
 from __future__ import annotations
@@ -19,27 +23,32 @@ from veilsift.llm.toxicity import untoxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels outside the held-out fold, doesn't reject."""
+    """Documents that the classifier, trained on the labels outside the held-out fold, doesn't reject. A null or empty text
+    scores as the intercept alone; without labels of both classes the smoothed share of toxic labels decides for all."""
     return untoxic(docs, queries.table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that are equal but for white space."""
+    """One document of each group of texts that are equal but for white space: that with the most code points, then the
+    smallest doc_id. Null and blank texts are one group; a null doc_id comes last; of rows that repeat both one stays."""
     return deduplicated(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of documents whose sets of five-word shingles have a similarity of 0.8 or more."""
+    """The smallest doc_id of each group of documents that are connected by sets of five-word shingles with a similarity of
+    0.8 or more. Texts of fewer words are one shingle, texts without any are one group; a null doc_id comes last; rows that
+    repeat the one that stays stay with it."""
     return without_similar(docs, 0.8)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item has leaked into."""
+    """Documents that no benchmark item has leaked into. Null and empty texts stay; items shorter than a seed or without an
+    item_id are never found."""
     return decontaminated(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_ids and ids of each document."""
+    """doc_id, n_ids and ids of each document; a null or empty text has none."""
     ids = encoded(docs, queries.piece_model())
     return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids")
 

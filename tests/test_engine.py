@@ -56,6 +56,7 @@ def test_codex_and_editor_trees(spark, tmp_path):
     assert report.gaps.where("reason.tag = 'unsupportedSchema' and store = 'other-db'").count() == 1
     assert listing.version_of("codex", str(tmp_path / ".codex")) == "0.9.1"
     assert engine.coverage().where("present").count() > 6
+    assert {r["version"] for r in engine.coverage().where("adapter = 'codex'").collect()} == {"0.9.1"}
 
 
 def test_redaction_end_to_end(spark, tmp_path):

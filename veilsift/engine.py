@@ -76,11 +76,13 @@ class Engine:
         return listing.listed(self.spark, self.home, self.environment, self.adapters)
 
     def coverage(self) -> DataFrame:
-        """Stores with tier, presence and number of artifacts and blocking gaps."""
+        """Stores with tier, presence, number of artifacts and blocking gaps, and the version of their agent."""
         stores, artifacts, gaps = self.listed()
+        roots = [(r["adapter"], r["root"]) for r in artifacts.select("adapter", "root").distinct().collect()]  # a few installations
+        versions = self.spark.createDataFrame([(a, r, listing.version_of(a, r)) for a, r in roots if a in ("claude-code", "codex")], "adapter string, root string, version string")
         a = artifacts.groupBy("adapter", "store").agg(F.count(F.lit(1)).alias("artifacts"), F.sum("size").alias("bytes"))
         g = gaps.where("blocks_clean").groupBy("adapter", "store").agg(F.count(F.lit(1)).alias("blocking_gaps"))
-        out = stores.join(a, ["adapter", "store"], "left").join(g, ["adapter", "store"], "left")
+        out = stores.join(a, ["adapter", "store"], "left").join(g, ["adapter", "store"], "left").join(F.broadcast(versions), ["adapter", "root"], "left")
         return out.fillna(0, ["artifacts", "bytes", "blocking_gaps"])
 
     def scan(self, tiers: tuple[str, ...] = SCANNED_BY_DEFAULT, excluded: DataFrame | None = None, now: Column | None = None) -> Report:

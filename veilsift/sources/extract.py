@@ -1,6 +1,7 @@
 """Text regions of artifacts, with the bytes that each stands for, and the gaps that reading finds.
 
-Lines, documents, chunks and cells are read as streams with bounded memory. Everything here runs inside tasks.
+Lines, chunks and cells are read one by one; a JSON document or cell is held whole, and an escaped string's map of places
+has an entry for each of its bytes, so their memory is bounded by the stores' greatest sizes alone. All runs inside tasks.
 """
 
 from __future__ import annotations
