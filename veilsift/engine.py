@@ -34,7 +34,7 @@ def installation_key(path: str) -> bytes:
 
 @dataclass
 class Report:
-    """Tables of one scan."""
+    """Tables of one scan. What was read is kept until ``release`` or the end of the session."""
 
     stores: DataFrame
     artifacts: DataFrame
@@ -42,6 +42,12 @@ class Report:
     findings: DataFrame
     secrets: DataFrame
     active: DataFrame
+    kept: DataFrame | None = None
+
+    def release(self) -> None:
+        """Lets go of what the scan has read; a table that is used again afterwards is read anew."""
+        if self.kept is not None:
+            self.kept.unpersist()
 
     def is_clean(self) -> bool:
         return bool(relational.clean(self.findings, self.gaps).first()["is_clean"])
@@ -98,7 +104,7 @@ class Engine:
         found = relational.one_for_each_place(detect.findings(scanned))
         found = relational.without_expired(found, F.unix_timestamp().cast("double") if now is None else now)
         all_gaps = gaps.unionByName(detect.gaps(scanned))
-        return Report(stores, artifacts, all_gaps, found, relational.identities(found), self.active(artifacts, found))
+        return Report(stores, artifacts, all_gaps, found, relational.identities(found), self.active(artifacts, found), scanned)
 
     def active(self, artifacts: DataFrame, found: DataFrame) -> DataFrame:
         """path and reason of the artifacts with findings that are in use; asked for where the files are, on the driver."""
